@@ -16,11 +16,13 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed by the byte-level pre-tokenizer: contractions, letters, numbers, other symbols, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LATIN_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Latin letters, ASCII and common punctuation: characters on which both patterns agree.
 LATIN_ONLY = r"[\t\n\r -~À-ÖØ-öø-ſ‘-„–—…]*"
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 NO_RANK = np.int64(1) << 60
 
 
@@ -140,12 +142,11 @@ class Coder:
                 out += self.split(part)
         return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, split: list[list[str]]) -> None:
         """Encode unknown words; the table starts anew when it is full."""
-        fresh = words - self.known.keys()
+        fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known = {}
-            fresh = set(words)
+            self.known, fresh = {}, set(chain.from_iterable(split))
         plain = []
         for w in fresh:
             if w.startswith("\0\0") and w[2:] in self.merges.special:
@@ -159,10 +160,7 @@ class Coder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids (uint32) of each text."""
         split = [self.words(t) for t in texts]
-        distinct: set[str] = set()
-        for words in split:
-            distinct.update(words)
-        self._learn(distinct)
+        self._learn(split)
         known = self.known.__getitem__
         return [np.frombuffer(b"".join(map(known, words)), np.uint32) for words in split]
 
@@ -190,7 +188,7 @@ def text_groups(texts: list[str], limit: int = 4 << 20):
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids (array<int>) of every document."""
-    schema = documents.select("doc_id").schema.add("ids", "array<int>")
+    schema = documents.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         for batch in batches:

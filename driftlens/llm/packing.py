@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .bpe import LATIN_ONLY, text_groups
 SEQUENCE = 2048
 GRAIN = 64
 END_ID = 1
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 #: The word tokenizer's own split, for lower-cased texts of Latin characters.
 WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
@@ -39,11 +40,18 @@ class WordTokenizer:
     """Ids by the tokenizers library, with a bounded table of words it has already encoded."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one text at a time; the cluster is the parallelism
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
+        # for words that are split and lower-cased already: the same merges without the normalizer and the split
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.full.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -54,14 +62,15 @@ class WordTokenizer:
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: set[str]) -> None:
-        fresh = words - self.known.keys()
+    def _learn(self, split: list[list[str]]) -> None:
+        """Encode the words not yet in the table; the table starts anew when it is full."""
+        fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known, fresh = {}, words
+            self.known, fresh = {}, set(chain.from_iterable(split))
         order = list(fresh)
         for lo in range(0, len(order), 2000):
             part = order[lo : lo + 2000]
-            ids = self._library(" ".join(part))
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part):
                 buffer, start = ids.tobytes(), 0
@@ -75,10 +84,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
         split = [self.split(t.lower()) if "<|" not in t and self.latin(t) else None for t in texts]
-        distinct: set[str] = set()
-        for words in split:
-            distinct.update(words or ())
-        self._learn(distinct)
+        self._learn([words for words in split if words])
         known = self.known.__getitem__
         return [b"".join(map(known, words)) if words is not None else self._library(t).tobytes() for t, words in zip(texts, split, strict=True)]
 
