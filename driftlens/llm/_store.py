@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def reclaim(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's context cleaner drop the shuffle files of finished phases.
+
+    Twice, because plans are freed in two steps: Python's handles first, then what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

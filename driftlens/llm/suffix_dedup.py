@@ -39,7 +39,7 @@ GRAM = 25
 LEFT = SPAN - GRAM  # most bytes before an anchor that can share a window with it
 WIDTH = LEFT + SPAN
 CROWD = 48  # documents in a batch from which an anchor is settled within the batch
-COMMON_SHARE = 0.004
+COMMON_SHARE = 0.01
 COMMON_ANCHORS = 1 << 17
 ANCHORS_PER_TASK = 2_000_000
 ROWS_PER_BLOCK = 60_000
@@ -178,6 +178,7 @@ def _context_rows(joined: DataFrame, common) -> DataFrame:
             edges = edges - edges[0]
             wanted = lists.flatten().to_numpy().view(np.uint64)
             wanted = np.sort(mix(wanted ^ mix(np.repeat(np.arange(len(ids)), np.diff(edges)).astype(np.uint64))))
+            parts = []
             for lo, _, data, offsets in text_chunks(batch.column("text")):
                 at, gram, doc = anchors(data, offsets)
                 if not len(at) or not len(wanted):
@@ -185,55 +186,65 @@ def _context_rows(joined: DataFrame, common) -> DataFrame:
                 test = mix(gram ^ mix((doc + lo).astype(np.uint64)))
                 mine = wanted[np.minimum(np.searchsorted(wanted, test), len(wanted) - 1)] == test
                 at, gram, doc = at[mine], gram[mine], doc[mine]
-                if not len(at):
-                    continue
-                yield from _emit(data, offsets, at, gram, doc, ids[lo + doc], very_common)
+                if len(at):
+                    parts.append((gram, ids[lo + doc], at - offsets[doc], *_surroundings(data, offsets, at, doc)))
+            if parts:
+                yield from _emit(*(np.concatenate([p[i] for p in parts]) for i in range(6)), very_common)
 
     return joined.mapInArrow(run, CONTEXT)
 
 
-def _emit(data, offsets, at, gram, doc, ids, very_common):
-    matrix, left, right = _surroundings(data, offsets, at, doc)
-    pos = at - offsets[doc]
+def _repeats(key, ids, matrix, left, right) -> np.ndarray:
+    """Rows whose key and surroundings equal those of a row with a smaller id (bytes compared)."""
+    full = np.concatenate([_row_hash(matrix[i : i + ROWS_PER_BLOCK])[:, -1] for i in range(0, len(key), ROWS_PER_BLOCK)])
+    full = mix(full ^ mix(key) ^ (left * 256 + right).astype(np.uint64))
+    order = np.lexsort((ids, full))
+    first = np.concatenate([[True], full[order][1:] != full[order][:-1]])
+    head = np.repeat(order[first], np.diff(np.append(np.flatnonzero(first), len(order))))
+    out = np.zeros(len(key), bool)
+    later = ids[order] > ids[head]
+    order, head = order[later], head[later]
+    same = [(matrix[order[i : i + ROWS_PER_BLOCK]] == matrix[head[i : i + ROWS_PER_BLOCK]]).all(axis=1) for i in range(0, len(order), ROWS_PER_BLOCK)]
+    out[order] = np.concatenate([np.zeros(0, bool), *same])
+    return out
+
+
+def _emit(gram, ids, pos, matrix, left, right, very_common):
+    """CONTEXT rows of a batch: of equal surroundings only the smallest id travels, the others repeat it."""
+    repeats = _repeats(gram, ids, matrix, left, right)
+    spans = [(ids[repeats], (pos - left)[repeats], (pos + right)[repeats])]
+    gram, ids, pos, matrix, left, right = (x[~repeats] for x in (gram, ids, pos, matrix, left, right))
     slot = np.minimum(np.searchsorted(very_common, gram), max(len(very_common) - 1, 0))
     often = very_common[slot] == gram if len(very_common) else np.zeros(len(gram), bool)
-    if often.any():  # their windows go under the windows' own hashes
-        source = np.flatnonzero(often)
-        hashes = _row_hash(matrix[source])
-        parts = []
+    yield from _rows(*(x[~often] for x in (gram, ids, pos, matrix, left, right)))
+    if often.any():  # the windows of very common anchors go under the windows' own hashes
+        ids, pos, matrix, left, right = (x[often] for x in (ids, pos, matrix, left, right))
+        hashes = _row_hash(matrix)
         for a in range(LEFT + 1):
-            fits = (left[source] >= a) & (right[source] >= SPAN - a)
-            rows = source[fits]
-            span = (hashes[fits, LEFT - a + SPAN] - hashes[fits, LEFT - a]) * powers(BASE_INVERSE, WIDTH + 1)[LEFT - a]
+            rows = np.flatnonzero((left >= a) & (right >= SPAN - a))
+            key = (hashes[rows, LEFT - a + SPAN] - hashes[rows, LEFT - a]) * powers(BASE_INVERSE, WIDTH + 1)[LEFT - a]
             block = np.zeros((len(rows), WIDTH), np.uint8)
             block[:, LEFT:] = matrix[rows, LEFT - a : LEFT - a + SPAN]
-            parts.append((mix(span ^ U64(0xA5A5A5A5)), ids[rows], pos[rows] - a, block))
-        plain = ~often
-        n = [len(p[0]) for p in parts]
-        gram = np.concatenate([gram[plain], *(p[0] for p in parts)])
-        ids = np.concatenate([ids[plain], *(p[1] for p in parts)])
-        pos = np.concatenate([pos[plain], *(p[2] for p in parts)])
-        matrix = np.concatenate([matrix[plain], *(p[3] for p in parts)])
-        left = np.concatenate([left[plain], np.zeros(sum(n), np.int64)])
-        right = np.concatenate([right[plain], np.full(sum(n), SPAN)])
-    # equal surroundings in this chunk: only the smallest id need travel, the others repeat it
-    full = mix(_row_hash(matrix)[:, -1] ^ mix(gram) ^ (left * 256 + right).astype(np.uint64))
-    order = np.lexsort((ids, full))
-    first = np.concatenate([[True], full[order][1:] != full[order][:-1]])
-    head = np.repeat(order[first], np.diff(np.append(np.flatnonzero(first), len(order))))
-    same = (matrix[order] == matrix[head]).all(axis=1)
-    repeats = np.zeros(len(ids), bool)
-    repeats[order] = (ids[order] > ids[head]) & same
-    go = ~repeats
-    w = matrix.shape[1]
-    body = pa.Array.from_buffers(pa.binary(), int(go.sum()), [None, pa.py_buffer((np.arange(int(go.sum()) + 1) * w).astype(np.int32).tobytes()), pa.py_buffer(matrix[go].tobytes())])
-    yield pa.RecordBatch.from_arrays([pa.array(gram[go].view(np.int64)), pa.array(ids[go]), pa.array(pos[go]), pa.array((left * 256 + right)[go].astype(np.int32)), body], names=["key", "doc", "pos", "size", "bytes"])
-    if repeats.any():
-        start, end, who = _merge(ids[repeats], (pos - left)[repeats], (pos + right)[repeats])
+            made = [mix(key ^ U64(0xA5A5A5A5)), ids[rows], pos[rows] - a, block, np.zeros(len(rows), np.int64), np.full(len(rows), SPAN)]
+            again = _repeats(made[0], made[1], *made[3:]) if len(rows) else np.zeros(0, bool)
+            spans.append((made[1][again], made[2][again], made[2][again] + SPAN))
+            yield from _rows(*(x[~again] for x in made))
+    who, start, end = (np.concatenate([s[i] for s in spans]) for i in range(3))
+    if len(who):
+        start, end, who = _merge(who, start, end)
         k = len(who)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(who), pa.array(start), pa.array((end - start).astype(np.int32)), pa.nulls(k, pa.binary())], names=["key", "doc", "pos", "size", "bytes"])
 
 
+def _rows(key, ids, pos, matrix, left, right):
+    """Arrow batches of anchors with their surroundings."""
+    for lo in range(0, len(key), ROWS_PER_BLOCK):
+        part = slice(lo, lo + ROWS_PER_BLOCK)
+        n = len(key[part])
+        body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * WIDTH).astype(np.int32).tobytes()), pa.py_buffer(matrix[part].tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(ids[part]), pa.array(pos[part]), pa.array((left[part] * 256 + right[part]).astype(np.int32)), body], names=["key", "doc", "pos", "size", "bytes"])
+
+
 def _merge(who: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Union of the spans of each document: start, end, document."""
     if not len(who):
@@ -367,18 +378,10 @@ def _resolve(rows: DataFrame, tasks: int) -> DataFrame:
         del bodies
         left, right = size // 256, size % 256
         out = []
-        # equal surroundings: rows beyond the smallest id repeat it whole
-        full = np.concatenate([mix(_row_hash(matrix[i : i + ROWS_PER_BLOCK])[:, -1] ^ mix(key[i : i + ROWS_PER_BLOCK].view(np.uint64)) ^ size[i : i + ROWS_PER_BLOCK].astype(np.uint64)) for i in range(0, len(key), ROWS_PER_BLOCK)] or [np.zeros(0, np.uint64)])
-        order = np.lexsort((ids, full))
-        if len(order):
-            first = np.concatenate([[True], full[order][1:] != full[order][:-1]])
-            head = np.repeat(order[first], np.diff(np.append(np.flatnonzero(first), len(order))))
-            same = np.concatenate([(matrix[order[i : i + ROWS_PER_BLOCK]] == matrix[head[i : i + ROWS_PER_BLOCK]]).all(axis=1) for i in range(0, len(order), ROWS_PER_BLOCK)])
-            repeat = order[(ids[order] > ids[head]) & same]
+        if len(key):
+            repeat = _repeats(key.view(np.uint64), ids, matrix, left, right)
             out.append((ids[repeat], pos[repeat] - left[repeat], pos[repeat] + right[repeat]))
-            keep = np.ones(len(order), bool)
-            keep[repeat] = False
-            keep = np.flatnonzero(keep)
+            keep = np.flatnonzero(~repeat)
             keep = keep[np.argsort(key[keep], kind="stable")]
             edge = np.flatnonzero(np.concatenate([[True], key[keep][1:] != key[keep][:-1]]))
             count = np.diff(np.append(edge, len(keep)))
