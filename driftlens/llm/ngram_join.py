@@ -216,6 +216,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return grouped.mapInArrow(run, schema)
 
 
+def _promising(meetings: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) that share enough prefix values, from one row for each value they meet by.
+
+    Of the two prefixes, the one that ends first holds every common value up to its end; beyond it,
+    at most the rest of its own set can be common. Pairs that cannot reach the overlap needed go.
+    """
+    needed = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
+    beyond = F.greatest(*(F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("a_n", "b_n")))
+    fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    return meetings.where(fits).groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("shared")).where(F.col("shared") + beyond >= needed).select("a", "b")
+
+
+def _compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int, common) -> tuple[DataFrame, str]:
+    """The pairs that are similar enough, and their table's path; only their documents' sets are built."""
+    spark = docs.sparkSession
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets, sets_path = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common), "sets")
+    reclaim(spark)
+    links, links_path = materialize(_verify(pairs, sets, percent), "links")
+    discard(spark, sets_path)
+    reclaim(spark)
+    return links, links_path
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
     spark = documents.sparkSession
@@ -230,33 +254,29 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     leaders = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("leader")).where("c > 1").select("token", F.col("leader.id").alias("lead"), F.col("leader.n").alias("lead_n"))
     met, met_path = materialize(posts.join(leaders, "token"), "meetings")
     reclaim(spark)
-    compatible = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
-    first = met.where((F.col("id") != F.col("lead")) & compatible).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = met.select(F.col("id").alias("doc_id")).distinct()
-    chosen = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets, sets_path = materialize(_sets(chosen, size, common), "sets")
-    reclaim(spark)
-    links, links_path = materialize(_verify(first, sets, percent), "links")
-    reclaim(spark)
+    # pass one: everyone with the leader of each prefix n-gram they share
+    first = _promising(met.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("lead_n").alias("a_n"), F.col("id").alias("b"), F.col("n").alias("b_n")), percent)
+    first, first_path = materialize(first, "first-pairs")
+    links, links_path = _compare(docs, first, size, percent, common)
     roots, roots_path = connected_components(links, "a", "b")
     # pass two: whatever meets and is not connected yet
     placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     open_posts, open_path = materialize(placed.join(mixed, "token", "left_semi"), "open")
+    reclaim(spark)
     other = open_posts.select("token", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "root")))
-    fits = F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent
-    second = open_posts.join(other, "token").where((F.col("root") < F.col("root_2")) & fits).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
-    # pairs whose first pass already compared them need no second look
-    second, second_path = materialize(second.join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "second")
+    apart = open_posts.join(other, "token").where(F.col("root") < F.col("root_2"))
+    second = _promising(apart.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("id_2").alias("b"), F.col("n_2").alias("b_n")), percent)
+    # what the first pass has compared, either way round, needs no second look
+    either = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    second, second_path = materialize(second.join(either, ["a", "b"], "left_anti"), "second-pairs")
     reclaim(spark)
     if not second.isEmpty():
-        more, more_path = materialize(_verify(second, sets, percent), "links")
-        reclaim(spark)
-        joined = links.unionByName(more)
+        more, more_path = _compare(docs, second, size, percent, common)
         discard(spark, roots_path)
-        roots, roots_path = connected_components(joined, "a", "b")
+        roots, roots_path = connected_components(links.unionByName(more), "a", "b")
         discard(spark, more_path)
-    discard(spark, met_path, sets_path, links_path, open_path, second_path)
+    discard(spark, met_path, first_path, links_path, open_path, second_path)
     reclaim(spark)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component"))
     result = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
