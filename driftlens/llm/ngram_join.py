@@ -8,8 +8,10 @@ which is a prefix tree walked depth first; sets that share a path share the over
 and a subtree is left as soon as the lengths that remain cannot make up the overlap needed.
 
 The comparison has two passes. The first compares each document with one leader for every prefix
-n-gram, which ties groups of copies together at linear cost. The second compares all remaining pairs
-that meet in some prefix n-gram and are not yet connected. No pair that can be linked is left out.
+n-gram, which ties groups of copies together at linear cost. Documents that meet have a leader in
+common; the second pass compares all pairs within a leader's group that are not yet connected, block
+by block, first their prefixes and then, for those that may be linked, their sets. No pair that can be
+linked is left out, and no task gathers more than two blocks.
 
 Defined results: texts without words, and null texts, have no n-gram and are linked with nothing;
 texts with fewer words than n have their word sequence as the only n-gram; texts are read whole;
@@ -30,10 +32,13 @@ from ._text import LOWER, SPACE, U64, combine, fitting, mix, prefix_hash, runs,
 from .components import connected_components
 
 COMMON_WORDS = 1 << 16
+COMMON_GRAMS = 1 << 18
 CLASSES = 12
 CLASS_BITS = U64(6)
 GROUP = 256
+BLOCK_VALUES = 100_000
 STEP = 64
+NEVER = 1 << 40
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -41,46 +46,64 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return segment_hash(prefix_hash(LOWER[data]), starts, ends), doc
 
 
-def common_words(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and frequency classes (1 .. CLASSES) of at most COMMON_WORDS words, from all texts.
+def common_values(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and levels of the most frequent words, and of the most frequent n-grams, over all texts.
 
-    Words that occur once in a batch are not reported, so counts are lower bounds; they only order
-    n-grams and never decide a link.
+    At most COMMON_WORDS and COMMON_GRAMS come to the driver. What is rare within every batch is not
+    reported, so counts are lower bounds; they only order n-grams and never decide a link.
     """
+    nothing = np.zeros(0, np.uint64)
 
     def count(batches):
         for batch in batches:
-            hashes = [_words(d, o)[0] for _, _, d, o in text_chunks(batch.column("text"))]
-            uniq, n = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_counts=True)
-            often = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(uniq[often].view(np.int64)), pa.array(n[often])], names=["word", "n"])
-
-    top = documents.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
-    words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    if not len(words):
-        return words, np.zeros(0, np.uint64)
-    order = np.argsort(words)
-    level = np.minimum(1 + np.log2(n / max(n.min(), 1)).astype(int), CLASSES).astype(np.uint64)
-    return words[order], level[order]
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, words: np.ndarray, level: np.ndarray):
+            words, grams = [nothing], [nothing]
+            for _, _, data, offsets in text_chunks(batch.column("text")):
+                hashes, doc = _words(data, offsets)
+                words.append(hashes)
+                at = fitting(doc, size)
+                grams.append(combine(hashes, size)[at] >> CLASS_BITS)
+            for kind, values, least in ((0, words, 2), (1, grams, max(4, batch.num_rows // 2500))):
+                uniq, n = np.unique(np.concatenate(values), return_counts=True)
+                often = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), kind, np.int32)), pa.array(uniq[often].view(np.int64)), pa.array(n[often])], names=["kind", "value", "n"])
+
+    counts = documents.select("text").mapInArrow(count, "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    counts, path = materialize(counts, "frequent")
+    out = []
+    for kind, most in ((0, COMMON_WORDS), (1, COMMON_GRAMS)):
+        top = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).select("value", "n").toArrow()
+        values, n = top.column("value").to_numpy().view(np.uint64), top.column("n").to_numpy()
+        order = np.argsort(values)
+        out += [values[order], np.minimum(1 + np.log2(n[order] / max(n.min(initial=1), 1)).astype(int), CLASSES).astype(np.uint64)]
+    discard(documents.sparkSession, path)
+    return tuple(out)
+
+
+def _level(values: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), np.uint64)
+    slot = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[slot] == values, level[slot], U64(0))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, common):
     """(values, document) of the distinct n-grams of a chunk, each document's in global order.
 
     A value holds the n-gram's frequency class in its top bits and its hash below.
     """
     hashes, doc = _words(data, offsets)
     n_docs = len(offsets) - 1
-    rank = np.zeros(len(hashes), np.uint64)
-    if len(words):
-        slot = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        rank = np.where(words[slot] == hashes, level[slot], U64(0))
+    words, word_level, grams, gram_level = common
+    rank = _level(hashes, words, word_level)
     at = fitting(doc, size)
-    values = combine(hashes, size)[at]
+    values = combine(hashes, size)[at] >> CLASS_BITS
     total = np.zeros(len(at), np.uint64)
     for j in range(size):
         total += rank[at + j]
-    values = np.minimum(total, U64(63)) << (U64(64) - CLASS_BITS) | values >> CLASS_BITS
+    often = _level(values, grams, gram_level)
+    # n-grams that are frequent themselves come last; the others by the frequency of their words
+    level = np.where(often > 0, U64(40) + often, total * U64(39) // U64(size * CLASSES))
+    values = level << (U64(64) - CLASS_BITS) | values
     owner = doc[at]
     counts = np.bincount(doc, minlength=n_docs)
     short = np.flatnonzero((counts > 0) & (counts < size))
@@ -107,10 +130,9 @@ def signatures(documents: DataFrame, size: int, percent: int, common) -> DataFra
     schema = documents.select("doc_id").schema.add("n", "long").add("f1", "long").add("f2", "long").add("prefix", T.ArrayType(T.LongType()))
 
     def run(batches):
-        words, level = common.value
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column("text")):
-                values, owner = shingle_sets(data, offsets, size, words, level)
+                values, owner = shingle_sets(data, offsets, size, common.value)
                 edge = _offsets_of(owner, hi - lo)
                 n = np.diff(edge)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ U64(salt)))]) for salt in (1, 0x5851F42D4C957F2D)]
@@ -130,10 +152,9 @@ def _sets(documents: DataFrame, size: int, common) -> DataFrame:
     schema = documents.select("doc_id").schema.add("tokens", "binary")
 
     def run(batches):
-        words, level = common.value
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column("text")):
-                values, owner = shingle_sets(data, offsets, size, words, level)
+                values, owner = shingle_sets(data, offsets, size, common.value)
                 edge, body = _offsets_of(owner, hi - lo) * 8, values.astype(">u8").tobytes()
                 tokens = [body[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(tokens, pa.binary())], names=schema.names)
@@ -240,13 +261,124 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int, common)
     return links, links_path
 
 
+def trie_overlaps(members: list[np.ndarray], queries: list[np.ndarray], need: np.ndarray) -> list[np.ndarray]:
+    """For each member (in lexicographic order) the queries that share at least need[member] values.
+
+    One walk over the members' prefix tree carries the overlap with every query; depths shared with
+    the previous member are not counted again, and a path is left when no query can still make it.
+    """
+    known = np.intersect1d(np.concatenate(queries), np.concatenate(members))
+    owner = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+    flat = np.concatenate(queries)
+    holds = np.zeros((len(known) + 1, len(queries)), bool)  # the last row: values no query holds
+    if len(known):
+        slot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        hit = known[slot] == flat
+        holds[slot[hit], owner[hit]] = True
+    none = np.zeros(0, np.int64)
+    path, overlap, out = np.zeros(0, np.uint64), np.zeros((1, len(queries)), np.int32), []
+    for member, least in zip(members, need, strict=True):
+        shared = min(len(member), len(path), len(overlap) - 1)
+        differ = np.flatnonzero(member[:shared] != path[:shared])
+        depth = int(differ[0]) if len(differ) else shared
+        path, overlap = member, overlap[: depth + 1]
+        while (overlap[-1] + (len(member) - depth) >= least).any():
+            if depth == len(member):
+                break
+            part = member[depth : depth + STEP]
+            slot = np.minimum(np.searchsorted(known, part), max(len(known) - 1, 0))
+            slot = np.where(known[slot] == part, slot, len(known)) if len(known) else np.full(len(part), 0)
+            overlap = np.concatenate([overlap, overlap[-1] + np.cumsum(holds[slot], axis=0, dtype=np.int32)])
+            depth += len(part)
+        out.append(np.flatnonzero(overlap[-1] >= least) if depth == len(member) else none)
+    return out
+
+
+def _block_links(first: list, second: list, percent: int, whole: bool) -> list[tuple[int, int]]:
+    """Pairs of positions (first, second) of different roots that are similar enough, or may be.
+
+    With ``whole`` sets a pair that earlier pairs already connect is left out.
+    """
+    second = sorted(second, key=lambda m: m[3].tobytes() if m[3].dtype.byteorder == ">" else m[3].astype(">u8").tobytes())
+    n1, n2 = np.array([m[2] for m in first]), np.array([m[2] for m in second])
+    r1, r2 = np.array([m[1] for m in first]), np.array([m[1] for m in second])
+    need = -(-percent * (n1[None, :] + n2[:, None]) // (100 + percent))
+    if not whole:
+        need = np.maximum(need - (-(-percent * np.maximum(n1[None, :], n2[:, None]) // 100) - 1), 1)
+    need[(r1[None, :] == r2[:, None]) | (np.minimum(n1[None, :], n2[:, None]) * 100 < np.maximum(n1[None, :], n2[:, None]) * percent)] = NEVER
+    useful = (need < NEVER).any(axis=1)
+    if not useful.any():
+        return []
+    second = [m for m, u in zip(second, useful, strict=True) if u]
+    found = trie_overlaps([m[3].astype(np.uint64) for m in second], [m[3].astype(np.uint64) for m in first], need[useful])
+    joined: dict = {}
+
+    def top(x):
+        while (y := joined.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for m, hits in zip(second, found, strict=True):
+        for h in hits.tolist():
+            q = first[h]
+            if whole:
+                a, b = top(q[1]), top(m[1])
+                if a == b:
+                    continue
+                joined[max(a, b)] = min(a, b)
+            out.append((q[0], m[0]))
+    return out
+
+
+def _blocks(groups: DataFrame, values: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Compare all documents of different roots within each leader's group, in blocks of bounded size.
+
+    Every pair of blocks of a group is one unit of work. Returns (lead, id): with ``whole`` sets the
+    two ends of links that connect roots, else the members that may have a link.
+    """
+    spark = groups.sparkSession
+    mixed = groups.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"), F.sum("n").alias("v")).where("low < high")
+    parts = mixed.select("lead", F.ceil(F.greatest(F.col("c") / GROUP, F.col("v") / BLOCK_VALUES)).cast("long").alias("parts"))
+    placed = groups.join(parts, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = placed.join(values, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "tokens")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(count, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "block", "id")
+
+    def run(batches):
+        now, members = None, []
+
+        def flush():
+            lead, i, j = now
+            first = [m for m in members if m[4] == i]
+            second = first if i == j else [m for m in members if m[4] == j]
+            pairs = _block_links(first, second, percent, whole) if first and second else []
+            if not whole:
+                ids = sorted({x for p in pairs for x in p})
+                pairs = [(lead, x) for x in ids]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["lead", "id"])
+
+        for batch in batches:
+            for lead, i, j, block, i_d, root, n, body in zip(*(batch.column(c).to_pylist() for c in ("lead", "i", "j", "block", "id", "root", "n", "tokens")), strict=True):
+                if (lead, i, j) != now:
+                    if members:
+                        yield flush()
+                    now, members = (lead, i, j), []
+                members.append((i_d, root, n, np.frombuffer(body, ">u8") if whole else np.array(body, np.int64).view(np.uint64), block))
+        if members:
+            yield flush()
+
+    return grouped.mapInArrow(run, "lead long, id long")
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    common = spark.sparkContext.broadcast(common_words(docs))
+    common = spark.sparkContext.broadcast(common_values(docs, size))
     reclaim(spark)
-    signed, signed_path = materialize(signatures(docs, size, percent, common), "signatures")
+    signed, signed_path = materialize(signatures(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent, common), "signatures")
     classes = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     classes, classes_path = materialize(classes, "classes")
     heads = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -259,24 +391,24 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     first, first_path = materialize(first, "first-pairs")
     links, links_path = _compare(docs, first, size, percent, common)
     roots, roots_path = connected_components(links, "a", "b")
-    # pass two: whatever meets and is not connected yet
-    placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    open_posts, open_path = materialize(placed.join(mixed, "token", "left_semi"), "open")
-    reclaim(spark)
-    other = open_posts.select("token", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "root")))
-    apart = open_posts.join(other, "token").where(F.col("root") < F.col("root_2"))
-    second = _promising(apart.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("id_2").alias("b"), F.col("n_2").alias("b_n")), percent)
-    # what the first pass has compared, either way round, needs no second look
-    either = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second, second_path = materialize(second.join(either, ["a", "b"], "left_anti"), "second-pairs")
+    # pass two: documents that meet share a leader, so all pairs left lie within leaders' groups
+    met_leader = met.select("lead", "id", "n").unionByName(met.select("lead", F.col("lead").alias("id"), F.col("lead_n").alias("n"))).distinct()
+    groups = met_leader.join(roots.withColumnRenamed("node", "id"), "id", "left").select("lead", "id", "n", F.coalesce("root", "id").alias("root"))
+    groups, groups_path = materialize(groups, "groups")
+    prefixes = heads.select(F.col("doc_id").alias("id"), F.col("prefix").alias("tokens"))
+    active, active_path = materialize(_blocks(groups, prefixes, percent, whole=False).distinct(), "active")
     reclaim(spark)
-    if not second.isEmpty():
-        more, more_path = _compare(docs, second, size, percent, common)
-        discard(spark, roots_path)
-        roots, roots_path = connected_components(links.unionByName(more), "a", "b")
+    if not active.isEmpty():
+        left = groups.join(active, ["lead", "id"], "left_semi")
+        wanted = active.select(F.col("id").alias("doc_id")).distinct()
+        sets, sets_path = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common).select(F.col("doc_id").alias("id"), "tokens"), "sets")
+        reclaim(spark)
+        more, more_path = materialize(_blocks(left, sets, percent, whole=True), "links")
+        discard(spark, roots_path, sets_path)
+        reclaim(spark)
+        roots, roots_path = connected_components(links.unionByName(more.select(F.col("lead").alias("a"), F.col("id").alias("b"))), "a", "b")
         discard(spark, more_path)
-    discard(spark, met_path, first_path, links_path, open_path, second_path)
+    discard(spark, met_path, first_path, links_path, groups_path, active_path)
     reclaim(spark)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component"))
     result = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
