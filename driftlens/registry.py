@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import changes, graphs, gates, versions
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL = {}, {}
+for _module in (changes, versions, graphs, gates):
+    QUERIES.update(_module.QUERIES)
+    SQL.update(_module.SQL)

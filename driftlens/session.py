@@ -40,3 +40,10 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _shipped_to.add(sc.applicationId)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's shared ``spark.checkpoint.dir``; set a local folder only where none is named."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "driftlens-checkpoints"))
