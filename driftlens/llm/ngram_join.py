@@ -253,7 +253,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int, common)
     """The pairs that are similar enough, and their table's path; only their documents' sets are built."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets, sets_path = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common), "sets")
+    sets, sets_path = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common), "sets")
     reclaim(spark)
     links, links_path = materialize(_verify(pairs, sets, percent), "links")
     discard(spark, sets_path)
@@ -401,7 +401,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     if not active.isEmpty():
         left = groups.join(active, ["lead", "id"], "left_semi")
         wanted = active.select(F.col("id").alias("doc_id")).distinct()
-        sets, sets_path = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common).select(F.col("doc_id").alias("id"), "tokens"), "sets")
+        sets, sets_path = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common).select(F.col("doc_id").alias("id"), "tokens"), "sets")
         reclaim(spark)
         more, more_path = materialize(_blocks(left, sets, percent, whole=True), "links")
         discard(spark, roots_path, sets_path)
