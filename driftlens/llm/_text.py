@@ -6,6 +6,9 @@ offsets at which the documents begin. No kernel looks at text row by row.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,6 +128,27 @@ def fitting(doc: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(doc[:n] == doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of text, each text whole."""
+    for lo, hi, _, _ in text_chunks(batch.column(text), limit):
+        yield batch.slice(lo, hi - lo)
+
+
+def tidy(run):
+    """The batch function, followed by a return of freed memory: Python workers live on between stages."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def map_text(
     df: DataFrame,
     keep: list[str],
@@ -140,13 +164,10 @@ def map_text(
 
     def run(batches):
         for batch in batches:
-            parts = [kernel(data, offsets) for _, _, data, offsets in text_chunks(batch.column(text))]
-            if not parts:
-                continue
-            made = [np.concatenate([p[i] for p in parts]) for i in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, made)], names=schema.names)
+            for lo, hi, data, offsets in text_chunks(batch.column(text)):  # small batches go back, so neither side buffers much
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), *map(pa.array, kernel(data, offsets))], names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:

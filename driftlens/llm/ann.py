@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import tidy
+
 PIVOTS = 256
 PREFIX = 64
 SHARE = 0.08
@@ -145,4 +147,4 @@ def _search_block(vectors: DataFrame, queries: DataFrame, pivots: np.ndarray, k:
                 names=["query_id", "vec_id", "score"],
             )
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(tidy(run), "query_id long, vec_id long, score double")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import slices, tidy
+
 #: Fixed by the byte-level pre-tokenizer: contractions, letters, numbers, other symbols, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same split for texts of Latin characters only, in the quicker standard engine.
@@ -174,31 +176,18 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def text_groups(texts: list[str], limit: int = 4 << 20):
-    """Consecutive slices of about ``limit`` characters, each text whole."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield texts[lo : i + 1]
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield texts[lo:]
-
-
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids (array<int>) of every document."""
     schema = documents.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [x for group in text_groups(texts) for x in coder(path).encode(group)]
+        for batch in (part for whole in batches for part in slices(whole)):
+            ids = coder(path).encode([t or "" for t in batch.column("text").to_pylist()])
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
@@ -206,14 +195,12 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
     schema = documents.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole)):
             numbers, ids_hash, text_hash = [], [], []
-            for group in text_groups(texts):
-                for ids in coder(path).encode(group):
-                    numbers.append(len(ids))
-                    ids_hash.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(coder(path).decode(ids).encode()).hexdigest())
+            for ids in coder(path).encode([t or "" for t in batch.column("text").to_pylist()]):
+                numbers.append(len(ids))
+                ids_hash.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                text_hash.append(hashlib.sha256(coder(path).decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(numbers, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)

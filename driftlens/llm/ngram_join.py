@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import discard, materialize, reclaim
-from ._text import LOWER, SPACE, U64, combine, fitting, mix, prefix_hash, runs, segment_hash, text_chunks
+from ._text import LOWER, SPACE, U64, combine, fitting, mix, prefix_hash, runs, segment_hash, text_chunks, tidy
 from .components import connected_components
 
 COMMON_WORDS = 1 << 16
@@ -67,7 +67,7 @@ def common_values(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
                 often = n >= least
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), kind, np.int32)), pa.array(uniq[often].view(np.int64)), pa.array(n[often])], names=["kind", "value", "n"])
 
-    counts = documents.select("text").mapInArrow(count, "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    counts = documents.select("text").mapInArrow(tidy(count), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     counts, path = materialize(counts, "frequent")
     out = []
     for kind, most in ((0, COMMON_WORDS), (1, COMMON_GRAMS)):
@@ -144,7 +144,7 @@ def signatures(documents: DataFrame, size: int, percent: int, common) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), *map(pa.array, prints), lists], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def _sets(documents: DataFrame, size: int, common) -> DataFrame:
@@ -159,7 +159,7 @@ def _sets(documents: DataFrame, size: int, common) -> DataFrame:
                 tokens = [body[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(tokens, pa.binary())], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def trie_matches(query: bytes, members: list[bytes], percent: int) -> list[bool]:
@@ -234,7 +234,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return grouped.mapInArrow(run, schema)
+    return grouped.mapInArrow(tidy(run), schema)
 
 
 def _promising(meetings: DataFrame, percent: int) -> DataFrame:
@@ -369,7 +369,7 @@ def _blocks(groups: DataFrame, values: DataFrame, percent: int, whole: bool) ->
         if members:
             yield flush()
 
-    return grouped.mapInArrow(run, "lead long, id long")
+    return grouped.mapInArrow(tidy(run), "lead long, id long")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize
-from .bpe import LATIN_ONLY, text_groups
+from ._text import slices, tidy
+from .bpe import LATIN_ONLY
 
 SEQUENCE = 2048
 GRAIN = 64
 END_ID = 1
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 450_000
 #: The word tokenizer's own split, for lower-cased texts of Latin characters.
 WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
@@ -45,20 +46,28 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one text at a time; the cluster is the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full = Tokenizer.from_file(path)
-        self.full.no_truncation()
-        self.full.no_padding()
+        self.path = path
         # for words that are split and lower-cased already: the same merges without the normalizer and the split
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.full.get_vocab()
+        vocab = self.plain.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.latin = re.compile(LATIN_ONLY).fullmatch
         self.split = re.compile(WORD_PATTERN).findall
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def full(self):
+        """The file's tokenizer as it is, built only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        full = Tokenizer.from_file(self.path)
+        full.no_truncation()
+        full.no_padding()
+        return full
+
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -115,22 +124,18 @@ def pieces(documents: DataFrame, path: str) -> DataFrame:
     end = np.array([END_ID], np.uint32).tobytes()
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             row, out = [], []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            for group in text_groups(texts):
-                for ids in tokenizer(path).encode(group):
-                    ids += end
-                    n = len(ids) // 4
-                    for start, length in cut(n):
-                        row.append(at)
-                        out.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
-                    at += 1
+            for at, ids in enumerate(tokenizer(path).encode([t or "" for t in batch.column("text").to_pylist()])):
+                ids += end
+                n = len(ids) // 4
+                for start, length in cut(n):
+                    row.append(at)
+                    out.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
             columns = np.array(out, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *map(pa.array, columns)], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ._labels import held_out, labelled_sample
 from ._store import discard, materialize
-from ._text import SPACE, fitting, free_name, map_text, mix, per_doc, prefix_hash, runs, segment_hash
+from ._text import SPACE, fitting, free_name, map_text, mix, per_doc, prefix_hash, runs, segment_hash, tidy
 
 
 def _lut(chars: str) -> np.ndarray:
@@ -148,7 +148,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = 20_000, dimension
                 total += z.T @ np.column_stack([z, frame["label"].to_numpy()])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
-        rows_out = table.where("part <> 0").coalesce(parts).mapInArrow(partial, "sums binary").collect()
+        rows_out = table.where("part <> 0").coalesce(parts).mapInArrow(tidy(partial), "sums binary").collect()
         sums = np.sum([np.frombuffer(r["sums"]).reshape(width, width + 1) for r in rows_out], axis=0)
         penalty = np.eye(width) * max(ridge * sums[-1, width - 1], 1e-6)
         penalty[-1, -1] = 1e-9

@@ -164,7 +164,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float,
     return w / scale, bias
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = 6_000, penalty: float = 1e-4, steps: int = 150) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, rows: int = 4_000, penalty: float = 1e-4, steps: int = 150) -> Model | None:
     """Fit on at most ``rows`` labelled documents, in one bounded task; None if there are none."""
     spark = documents.sparkSession
     sample = labelled_sample(documents, labels, "quality", rows)

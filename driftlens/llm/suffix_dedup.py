@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import discard, materialize, reclaim
-from ._text import BASE, BASE_INVERSE, BYTE_CODE, U64, free_name, mix, powers, prefix_hash, text_chunks
+from ._text import BASE, BASE_INVERSE, BYTE_CODE, U64, free_name, mix, powers, prefix_hash, slices, text_chunks, tidy
 
 SPAN = 50
 GRAM = 25
@@ -42,7 +42,7 @@ CROWD = 48  # documents in a batch from which an anchor is settled within the ba
 COMMON_SHARE = 0.01
 COMMON_ANCHORS = 1 << 17
 ANCHORS_PER_TASK = 2_000_000
-ROWS_PER_BLOCK = 60_000
+ROWS_PER_BLOCK = 20_000
 
 
 def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -112,7 +112,7 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
             absent[: int(plain.sum())] = True
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(known, mask=absent)], names=["key", "doc", "known"])
 
-    return documents.mapInArrow(run, "key long, doc long, known long")
+    return documents.mapInArrow(tidy(run), "key long, doc long, known long")
 
 
 def _shared(rows: DataFrame, tasks: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _shared(rows: DataFrame, tasks: int) -> DataFrame:
         who = np.concatenate([*out_doc, np.zeros(len(very_common), np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(who, mask=gone), pa.array(np.concatenate([*out_gram, very_common]))], names=["doc", "gram"])
 
-    return rows.repartition(tasks, "key").mapInArrow(run, "doc long, gram long")
+    return rows.repartition(tasks, "key").mapInArrow(tidy(run), "doc long, gram long")
 
 
 def _surroundings(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray):
@@ -191,7 +191,7 @@ def _context_rows(joined: DataFrame, common) -> DataFrame:
             if parts:
                 yield from _emit(*(np.concatenate([p[i] for p in parts]) for i in range(6)), very_common)
 
-    return joined.mapInArrow(run, CONTEXT)
+    return joined.mapInArrow(tidy(run), CONTEXT)
 
 
 def _repeats(key, ids, matrix, left, right) -> np.ndarray:
@@ -401,7 +401,7 @@ def _resolve(rows: DataFrame, tasks: int) -> DataFrame:
             start, end, who = _merge(*(np.concatenate([x[i] for x in out]) for i in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(start), pa.array((end - start).astype(np.int32))], names=["doc", "pos", "size"])
 
-    return rows.repartition(tasks, "key").mapInArrow(run, "doc long, pos long, size int")
+    return rows.repartition(tasks, "key").mapInArrow(tidy(run), "doc long, pos long, size int")
 
 
 def repeated_spans(documents: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -452,7 +452,7 @@ def report(documents: DataFrame) -> DataFrame:
     schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             size, removed, spans, digest = [], [], [], []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for text, (start, end) in zip(texts, _merged(batch.column("spans")), strict=True):
@@ -463,7 +463,7 @@ def report(documents: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(_kept(text, start, end)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string())], names=schema.names)
 
-    return _with_spans(documents.select("doc_id", "text"), "spans").mapInArrow(run, schema)
+    return _with_spans(documents.select("doc_id", "text"), "spans").mapInArrow(tidy(run), schema)
 
 
 def deduplicate(documents: DataFrame, minimum: int = 1) -> DataFrame:
@@ -476,7 +476,7 @@ def deduplicate(documents: DataFrame, minimum: int = 1) -> DataFrame:
     has_chars = "n_chars" in documents.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             out, stay = [], []
             for text, (start, end) in zip(texts, _merged(batch.column(name)), strict=True):
@@ -488,4 +488,4 @@ def deduplicate(documents: DataFrame, minimum: int = 1) -> DataFrame:
             columns = [pa.array(out, pa.string()) if c == "text" else pa.array([None if t is None else len(t) for t in out], batch.column(c).type) if c == "n_chars" and has_chars else batch.column(c) for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(stay, pa.bool_()))
 
-    return _with_spans(documents, name).mapInArrow(run, schema)
+    return _with_spans(documents, name).mapInArrow(tidy(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ._labels import held_out, labelled_sample
 from ._store import discard, materialize
-from ._text import LOWER, map_text, mix, prefix_hash, runs, segment_hash, text_chunks
+from ._text import LOWER, map_text, mix, prefix_hash, runs, segment_hash, text_chunks, tidy
 from .quality import isotonic
 
 LETTER = np.zeros(256, bool)
@@ -168,7 +168,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = 20_000) -> Model:
                     every = np.bincount(where, minlength=len(uniq)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], names=["token", "toxic", "clean"])
 
-        counts, counts_path = materialize(table.mapInArrow(count, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
+        counts, counts_path = materialize(table.mapInArrow(tidy(count), "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
         try:
             sums = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
             n_t, n_c = float(sums["toxic"] or 0), float(sums["clean"] or 0)
@@ -221,4 +221,4 @@ def toxic_passages(documents: DataFrame, model: Model) -> DataFrame:
                     ids = batch.column("doc_id").take(pa.array([lo + int(d) for d in doc]))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.array(x, k)) for x, k in ((start, np.int64), (end, np.int64), (score, float), (expected, float)))], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)
