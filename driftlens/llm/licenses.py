@@ -2,7 +2,7 @@
 
 The units of a document are its lines, its paragraphs (parted by empty lines) and the whole text.
 A unit and a template are compared only if their sizes allow the threshold, and a unit is normalised
-only if it holds a word without which no template can reach the threshold. Everything runs inside
+only if it holds a pair of words without which no template can reach the threshold. Everything runs inside
 one projection of built-in functions: no shuffle, no join, no row is multiplied.
 
 Defined results: a null or empty text has no match; texts are read whole, however long; units of one
@@ -59,32 +59,30 @@ def bigrams(words: list[str]) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def anchors(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
-    """Words such that any unit that reaches the threshold with some template contains one of them.
+def anchors(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[str, str]]:
+    """Word pairs such that any unit that reaches the threshold with some template contains one of them.
 
-    A match shares at least t*n/(2-t) of a template's n bigrams; words are chosen, longest first,
-    until the bigrams they stand in are more than a match may miss.
+    A match shares at least t*n/(2-t) of a template's n bigrams, so of any larger number than it may
+    miss it holds one; the longest are taken, for they are the rarest.
     """
-    chosen: dict[str, None] = {}
+    chosen: dict[tuple[str, str], None] = {}
     for _, text in templates:
         grams = bigrams(normal_words(text))
-        needed = -(-threshold * len(grams) // (2 - threshold))
-        open_grams, covered = list(grams), 0
-        for word in sorted(set(normal_words(text)), key=lambda w: (-len(w), w)):
-            if covered > len(grams) - needed:
-                break
-            hit = [g for g in open_grams if word in g.split()]
-            covered += len(hit)
-            open_grams = [g for g in open_grams if g not in hit]
-            chosen[word] = None
+        needed = int(-(-threshold * len(grams) // (2 - threshold)))
+        for gram in sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed + 1]:
+            first, second = sorted(gram.split(), key=len, reverse=True)
+            chosen[first, second] = None
     return list(chosen)
 
 
-def _may_match(text: Column) -> Column:
-    low = F.replace(F.lower(text), F.lit("licence"), F.lit("license"))
+def _lower(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("licence"), F.lit("license"))
+
+
+def _may_match(low: Column) -> Column:
     test = F.lit(False)
-    for word in anchors():
-        test = test | F.contains(low, F.lit(word))
+    for long, short in anchors():
+        test = test | (F.contains(low, F.lit(long)) & F.contains(low, F.lit(short)))
     return test
 
 
@@ -105,13 +103,15 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_matches (matching units), licenses (sorted, distinct) and best_dice of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     longest = max(len(bigrams(normal_words(t))) for _, t in TEMPLATES) * (2 - threshold) / threshold + 2
-    lines = F.split(text, "\n")
-    paragraphs = F.filter(F.split(text, "\n\\s*\n"), lambda p: F.contains(p, F.lit("\n")))
-    whole = F.when(F.contains(text, F.lit("\n")), F.array(text)).otherwise(F.array().cast("array<string>"))
-    units = F.array_distinct(F.concat(lines, paragraphs, whole))
-    hopeful = F.when(_may_match(text), F.filter(units, _may_match)).otherwise(F.array().cast("array<string>"))
-    step = documents.select("doc_id", hopeful.alias("units"))
-    clean = F.transform("units", lambda u: F.split(F.trim(F.regexp_replace(F.replace(F.lower(u), F.lit("licence"), F.lit("license")), "[^a-z0-9]+", " ")), " "))
+    # lower-cased once, before anything is split: what case folding and spelling change is no line break
+    step = documents.select("doc_id", _lower(text).alias("text"))
+    step = step.select("doc_id", F.when(_may_match(F.col("text")), F.col("text")).alias("text"))
+    lines = F.split("text", "\n")
+    paragraphs = F.filter(F.split("text", "\n\\s*\n"), lambda p: F.contains(p, F.lit("\n")))
+    whole = F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array().cast("array<string>"))
+    units = F.filter(F.array_distinct(F.concat(lines, paragraphs, whole)), _may_match)
+    step = step.select("doc_id", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(units).alias("units"))
+    clean = F.transform("units", lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " "))
     step = step.select("doc_id", clean.alias("words"))
     short = F.filter("words", lambda w: (F.size(w) >= 2) & (F.size(w) <= 20 * longest))
     step = step.select("doc_id", F.transform(short, _bigrams).alias("grams"))
@@ -138,12 +138,12 @@ def scan_sql(threshold: float = THRESHOLD) -> str:
     return f"""
 WITH templates(priority, name, grams) AS (VALUES {rows}),
 units AS (
-  SELECT DISTINCT doc_id, unit FROM (
+  SELECT DISTINCT doc_id, replace(lower(unit), 'licence', 'license') AS unit FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
     UNION ALL SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')) AS unit FROM documents) WHERE contains(unit, chr(10))
     UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10)))),
 words AS (
-  SELECT doc_id, unit, string_split(trim(regexp_replace(replace(lower(unit), 'licence', 'license'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
+  SELECT doc_id, unit, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
 grams AS (
   SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2),
 dice AS (
