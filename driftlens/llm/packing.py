@@ -32,7 +32,7 @@ from .bpe import LATIN_ONLY
 SEQUENCE = 2048
 GRAIN = 64
 END_ID = 1
-KNOWN_WORDS = 450_000
+KNOWN_WORDS = 900_000
 #: The word tokenizer's own split, for lower-cased texts of Latin characters.
 WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
