@@ -63,9 +63,14 @@ def common_values(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
                 at = fitting(doc, size)
                 grams.append(combine(hashes, size)[at] >> CLASS_BITS)
             for kind, values, least in ((0, words, 2), (1, grams, max(4, batch.num_rows // 2500))):
-                uniq, n = np.unique(np.concatenate(values), return_counts=True)
-                often = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), kind, np.int32)), pa.array(uniq[often].view(np.int64)), pa.array(n[often])], names=["kind", "value", "n"])
+                # sorted in place; only the values that are frequent enough are ever copied
+                every = np.concatenate(values)
+                values.clear()
+                every.sort()
+                first = np.flatnonzero(every[least - 1 :] == every[: len(every) - least + 1]) if len(every) >= least else np.zeros(0, np.int64)
+                first = first[(first == 0) | (every[first] != every[first - 1])]
+                n = np.searchsorted(every, every[first], side="right") - first
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(every[first].view(np.int64)), pa.array(n)], names=["kind", "value", "n"])
 
     counts = documents.select("text").mapInArrow(tidy(count), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     counts, path = materialize(counts, "frequent")

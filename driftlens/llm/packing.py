@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import cached_property, lru_cache
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from .bpe import LATIN_ONLY
 SEQUENCE = 2048
 GRAIN = 64
 END_ID = 1
-KNOWN_WORDS = 900_000
+KNOWN_WORDS = 500_000
 #: The word tokenizer's own split, for lower-cased texts of Latin characters.
 WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
@@ -72,10 +72,11 @@ class WordTokenizer:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, split: list[list[str]]) -> None:
-        """Encode the words not yet in the table; the table starts anew when it is full."""
+        """Encode the words not yet in the table; a full table keeps its older half, where the frequent words are."""
         fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known, fresh = {}, set(chain.from_iterable(split))
+            self.known = dict(islice(self.known.items(), KNOWN_WORDS // 2))
+            fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         order = list(fresh)
         for lo in range(0, len(order), 2000):
             part = order[lo : lo + 2000]
