@@ -89,3 +89,13 @@ WITH g(id, status, note) AS (VALUES {GATE}), u(id, status, note) AS (VALUES {UPD
 SELECT id, coalesce(u.status, g.status) AS status, coalesce(u.note, g.note) AS note FROM g FULL JOIN u USING (id)""")
 def q34_gate_upsert(spark, sf_dir):
     return diff.upsert(values(spark, "id, status, note", GATE), values(spark, "id, status, note", UPDATES), "id")
+
+
+@query("""
+WITH g AS (SELECT o_custkey, max(o_orderkey % 6) AS r FROM orders GROUP BY 1)
+SELECT o_custkey, CASE r WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'F' ELSE '?' END AS grade, CASE WHEN r <= 1 THEN 'auto' WHEN r <= 4 THEN 'human' ELSE 'fail' END AS decision FROM g""")
+def q38_cab_gate_whole(spark, sf_dir):
+    """The gate over every order, one verdict a customer."""
+    worst = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.col("o_orderkey") % 6).alias("r"))
+    grade = F.coalesce(F.get(F.array(*map(F.lit, "ABCDF")), F.col("r").cast("int")), F.lit("?"))
+    return worst.select("o_custkey", grade.alias("grade")).select("o_custkey", "grade", router.cab_decision(F.col("grade")).alias("decision"))

@@ -55,3 +55,36 @@ SELECT node::INT AS node FROM r""")
 def q21_class_level_closure(spark, sf_dir):
     edges = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).cast("int").alias("dst")).distinct()
     return graph.closure(spark.range(1).select(F.lit(3).alias("node")), edges)
+
+
+# The same closures over every row, with the tables' own keys as nodes.
+KEY_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem"
+
+
+def key_edges(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+@query(f"""
+WITH RECURSIVE e AS ({KEY_EDGES}), r(node) AS (SELECT DISTINCT src FROM e WHERE src % 50 = 7 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r""")
+def q35_internal_chain_whole(spark, sf_dir):
+    edges = key_edges(spark, sf_dir)
+    return graph.closure(edges.where("src % 50 = 7").select(F.col("src").alias("node")), edges)
+
+
+@query(f"""
+WITH RECURSIVE e AS ({KEY_EDGES}), p AS (SELECT * FROM e WHERE dst % 2 = 0), r(node) AS (SELECT DISTINCT src FROM p WHERE src % 20 = 3 UNION SELECT p.dst FROM r JOIN p ON p.src = r.node)
+SELECT e.dst AS member, min(r.node) AS via FROM r JOIN e ON e.src = r.node GROUP BY e.dst""")
+def q36_two_hop_whole(spark, sf_dir):
+    edges = key_edges(spark, sf_dir)
+    inside = edges.where("dst % 2 = 0")
+    reached = graph.closure(inside.where("src % 20 = 3").select(F.col("src").alias("node")), inside)
+    return edges.join(reached, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("member")).agg(F.min("node").alias("via"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), r(node) AS (SELECT 3::BIGINT UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
+SELECT node FROM r""")
+def q37_class_level_closure_whole(spark, sf_dir):
+    edges = key_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.closure(spark.range(1).select(F.lit(3).cast("long").alias("node")), edges)

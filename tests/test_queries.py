@@ -28,3 +28,36 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.sql(registry.SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def walk(seeds, edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    found, todo = set(seeds), list(seeds)
+    while todo:
+        for b in out.get(todo.pop(), set()) - found:
+            found.add(b)
+            todo.append(b)
+    return found
+
+
+def test_whole_table_closures_and_gate_read_every_row(spark):
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    edges = {(r.l_partkey, r.l_suppkey) for r in items}
+    chain = walk({a for a, _ in edges if a % 50 == 7}, edges)
+    assert {r.node for r in registry.QUERIES["q35_internal_chain_whole"](spark, SF).collect()} == chain
+    inside = {e for e in edges if e[1] % 2 == 0}
+    reached = walk({a for a, _ in inside if a % 20 == 3}, inside)
+    via = {}
+    for a, b in edges:
+        if a in reached:
+            via[b] = min(a, via.get(b, a))
+    assert {r.member: r.via for r in registry.QUERIES["q36_two_hop_whole"](spark, SF).collect()} == via
+    assert {r.node for r in registry.QUERIES["q37_class_level_closure_whole"](spark, SF).collect()} == walk({3}, {(b, a) for a, b in edges})
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    worst = {}
+    for r in orders:
+        worst[r.o_custkey] = max(r.o_orderkey % 6, worst.get(r.o_custkey, 0))
+    got = {r.o_custkey: r.grade for r in registry.QUERIES["q38_cab_gate_whole"](spark, SF).collect()}
+    assert got == {c: "ABCDF?"[w] for c, w in worst.items()}
