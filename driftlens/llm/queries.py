@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, ngram_join, packing, quality, quality_rules, sharding, suffix_dedup, toxicity
+from . import ann, bpe, licenses, ngram_join, notices, packing, quality, quality_rules, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.find(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -59,6 +63,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_toxicity, op4_quality_rules, op5_packing, op6_license_scan, op7_ngram_join, op8_bpe, op9_nearest_neighbours, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_toxicity, op4_quality_rules, op5_packing, op6_license_scan, op6_license_notices, op7_ngram_join, op8_bpe, op9_nearest_neighbours, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {"op6_license_scan": licenses.scan_sql()}

@@ -231,6 +231,51 @@ def test_license_scan_equals_sql_and_finds_variants(docs, edge, nothing):
     assert licenses.scan(edge).count() == len(edge_rows()) and licenses.scan(nothing).count() == 0
 
 
+def notices_of(text, templates, threshold=0.85):
+    """Every window of every template by definition, then the best that do not overlap."""
+    from driftlens.llm import licenses
+
+    words = licenses.normal_words(text or "")
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    found = []
+    for i, (name, body) in enumerate(templates):
+        own = set(licenses.bigrams(licenses.normal_words(body)))
+        most = int(len(own) * (2 - threshold) / threshold + 1e-9)
+        for a in range(len(grams)):
+            for b in range(a, min(len(grams), a + most)):
+                if grams[a] in own and grams[b] in own:
+                    held = set(grams[a : b + 1])
+                    if (dice := 2 * len(held & own) / (len(held) + len(own))) >= threshold:
+                        found.append((dice, len(own), -i, -a, b, name))
+    kept = []
+    for c in sorted(found, reverse=True):
+        if all(-k[3] > c[4] or -c[3] > k[4] for k in kept):
+            kept.append(c)
+    return len(kept), ",".join(sorted({k[5] for k in kept})), round(max((k[0] for k in kept), default=0.0), 6)
+
+
+def test_license_notices_inside_units_against_brute_force(spark, docs, plain, edge, nothing):
+    from driftlens.llm import licenses, notices
+
+    bodies = [t for _, t in notices.NOTICES]
+    texts = [
+        "Foo is licensed under the MIT License.",
+        "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0. See LICENSE for details.",
+        "Some words. " + licenses.TEMPLATES[3][1].replace("obtaining", "or body obtaining") + " More words.",
+        "Foo. " + bodies[len(licenses.TEMPLATES) + 1].replace("the copyright holder", "Foo Inc") + " Bar.",
+        "# " + notices._gnu("", "3").replace(" the ", "\n#  the ") + " You should have received a copy.",
+        "Licensed under the MIT License. Licensed under the MIT License. This work is licensed under the GNU General Public License, version 3.",
+        "nothing of the kind is licensed here, without conditions", None, "", "license", "MIT License " * 400,
+        *bodies,
+    ]
+    got = {r.doc_id: (r.n_notices, r.licenses, r.best_dice) for r in notices.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [notices_of(t, notices.NOTICES) for t in texts]
+    assert [got[i][1] for i in range(7)] == ["MIT", "Apache-2.0", "MIT", "BSD-3-Clause", "GPL-3.0", "GPL-3.0,MIT", ""]
+    assert got[5][0] == 3 and all(got[11 + i][1] == name for i, (name, _) in enumerate(notices.NOTICES))
+    assert {(r.doc_id, r.n_notices, r.licenses, r.best_dice) for r in notices.find(docs).collect()} == {(i, *notices_of(t, notices.NOTICES)) for i, t in plain}
+    assert notices.find(edge).count() == len(edge_rows()) and notices.find(nothing).count() == 0
+
+
 # -- n-gram join -------------------------------------------------------------------------------
 
 
