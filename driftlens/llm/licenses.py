@@ -102,7 +102,6 @@ def _templates() -> Column:
 def scan(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_matches (matching units), licenses (sorted, distinct) and best_dice of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    longest = max(len(bigrams(normal_words(t))) for _, t in TEMPLATES) * (2 - threshold) / threshold + 2
     # lower-cased once, before anything is split: what case folding and spelling change is no line break
     step = documents.select("doc_id", _lower(text).alias("text"))
     step = step.select("doc_id", F.when(_may_match(F.col("text")), F.col("text")).alias("text"))
@@ -113,7 +112,7 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     step = step.select("doc_id", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(units).alias("units"))
     clean = F.transform("units", lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " "))
     step = step.select("doc_id", clean.alias("words"))
-    short = F.filter("words", lambda w: (F.size(w) >= 2) & (F.size(w) <= 20 * longest))
+    short = F.filter("words", lambda w: F.size(w) >= 2)
     step = step.select("doc_id", F.transform(short, _bigrams).alias("grams"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
 

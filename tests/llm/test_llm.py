@@ -231,6 +231,21 @@ def test_license_scan_equals_sql_and_finds_variants(docs, edge, nothing):
     assert licenses.scan(edge).count() == len(edge_rows()) and licenses.scan(nothing).count() == 0
 
 
+def test_license_scan_keeps_long_units_of_few_bigrams(spark):
+    from driftlens.llm import licenses
+
+    documents = [(0, "Licensed under the MIT License. " * 500), (1, "Licensed under the MIT License.\n" * 500), (2, LONG + " licensed under the MIT license")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
+    rows = licenses.scan(spark.createDataFrame(documents, "doc_id long, text string"))
+    want = con.sql(licenses.scan_sql())
+    order = [want.columns.index(c) for c in rows.columns]
+    got = sorted(map(tuple, rows.collect()))
+    assert got == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+    assert [(r[1], r[2]) for r in got] == [(1, "MIT"), (2, "MIT"), (0, "")]
+
+
 def notices_of(text, templates, threshold=0.85):
     """Every window of every template by definition, then the best that do not overlap."""
     from driftlens.llm import licenses
