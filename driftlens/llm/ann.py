@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ._text import tidy
 
 PIVOTS = 256
-PREFIX = 64
-SHARE = 0.08
+PREFIX = 96
+SHARE = 0.12
 LEAST = 200
 SAMPLE = 4_096
 QUERY_BLOCK = 20_000

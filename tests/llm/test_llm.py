@@ -397,6 +397,25 @@ def brute_dedup(rows, span=50):
     return out
 
 
+def test_neighbours_recall_where_the_share_governs(monkeypatch):
+    import pyarrow.parquet as pq
+
+    from driftlens.llm import ann
+
+    monkeypatch.setattr(ann, "LEAST", 0)
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, raw = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), float)
+    units = ann.unit(raw)
+    order = np.random.default_rng(1).permutation(len(ids))
+    pivots = units[order[: ann.PIVOTS]]
+    block, queries = ann.Block(ids, raw, pivots, ann.PREFIX), order[-300:]
+    ranks, caught = ann.permutations(raw[queries], pivots, ann.PREFIX), 0
+    for rank, q in zip(ranks, queries, strict=True):
+        best = [j for j in np.lexsort((ids, -(units @ units[q]))) if j != q][:5]
+        caught += len(set(ids[best]) & set(block.nearest(units[q], ids[q], rank, 5)[0]))
+    assert caught >= 0.95 * 5 * len(queries)
+
+
 def test_suffix_dedup_against_brute_force(spark, docs, plain, edge, nothing, monkeypatch):
     from driftlens.llm import suffix_dedup
 
