@@ -15,8 +15,8 @@ linked is left out, and no task gathers more than two blocks.
 
 Defined results: texts without words, and null texts, have no n-gram and are linked with nothing;
 texts with fewer words than n have their word sequence as the only n-gram; texts are read whole;
-repeated rows fall into one class; a null id takes no part (null component); extra columns are
-never read.
+repeated rows fall into one class; the different texts of one id are compared each; a null id takes no
+part (null component); extra columns are never read.
 """
 
 from __future__ import annotations
@@ -377,10 +377,39 @@ def _blocks(groups: DataFrame, values: DataFrame, percent: int, whole: bool) ->
     return grouped.mapInArrow(tidy(run), "lead long, id long")
 
 
+def _keys(docs: DataFrame) -> DataFrame | None:
+    """A key for each (doc_id, text_hash), ordered as the ids are, if some id has different texts; else None."""
+    pairs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    if pairs.groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").isEmpty():
+        return None
+    ordered = pairs.distinct().orderBy("doc_id", "text_hash")
+    return materialize(ordered.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("key")), "keys")[0]
+
+
+def _linked_keys(docs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
+    """What _linked returns, with keys in place of ids."""
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    keyed = hashed.join(keys.hint("merge"), ["doc_id", "text_hash"], "left").select(F.col("key").alias("doc_id"), "text")
+    keyed, path = materialize(keyed, "keyed")
+    found = _linked(keyed, size, percent)
+    discard(docs.sparkSession, path)
+    return found
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
-    spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
+    keys = _keys(docs)
+    if keys is None:
+        return _linked(docs, size, percent)
+    found = _linked_keys(docs, keys, size, percent).select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("lowest"))
+    lowest = keys.select(F.col("key").alias("lowest"), F.col("doc_id").alias("component_id"))
+    return found.join(keys.select("key", "doc_id"), "key", "left").join(lowest, "lowest", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row, where no id stands on different texts."""
+    spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_values(docs, size))
     reclaim(spark)
     signed, signed_path = materialize(signatures(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent, common), "signatures")
@@ -424,8 +453,15 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, that are the smallest id of their group.
 
-    Rows with a null id are kept; of rows that repeat an id, all or none stay.
+    Rows with a null id are kept; of rows that repeat an id and its text, all or none stay. Different texts
+    of one id stand for themselves; of those in one group, the one of the lowest hash stays.
     """
-    groups = near_duplicates(documents, size, percent)
+    docs = documents.select("doc_id", "text")
+    keys = _keys(docs)
+    groups = _linked(docs, size, percent) if keys is None else _linked_keys(docs, keys, size, percent)
     gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti")
+    if keys is None:
+        return documents.join(gone, "doc_id", "left_anti")
+    gone = gone.distinct().join(keys.select(F.col("key").alias("doc_id"), F.col("doc_id").alias("gone_id"), "text_hash"), "doc_id").select("gone_id", F.col("text_hash").alias("gone_hash"))
+    same = (documents["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(documents["text"]) == gone["gone_hash"])
+    return documents.join(gone, same, "left_anti")

@@ -348,6 +348,19 @@ def test_ngram_join_against_brute_force(spark, docs, plain, edge, nothing):
     assert kept.columns == edge.columns and kept.where("doc_id = 6").count() == 0
 
 
+def test_ngram_join_compares_every_text_of_a_repeated_id(spark):
+    from driftlens.llm import ngram_join
+
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcd"]
+    rows = [(1, texts[0]), (2, texts[1]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[2]), (7, texts[3] + " end"), (8, None), (8, texts[3]), (None, texts[0])]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df, 3, 90).collect())
+    assert got == collections.Counter([(1, 1), (2, 2), (5, 1), (5, 2), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (8, 5), (None, None)])
+    kept = ngram_join.keep_one(df, 3, 90)
+    want = collections.Counter([(1, texts[0]), (2, texts[1]), (5, texts[2]), (5, texts[3]), (8, None), (None, texts[0])])
+    assert kept.columns == df.columns and collections.Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 # -- nearest neighbours ------------------------------------------------------------------------
 
 
