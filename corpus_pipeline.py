@@ -46,7 +46,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the trained stages nor the packing; tests hold each stage against brute force.
+#: SQL can express neither the trained stages nor the packing. Tests hold near copies and repeats against brute force and
+#: the classifiers against the verdicts of op2 and op4, and the pieces of run() against the library on what the stages keep.
 ORACLE_SQL = None
 
 

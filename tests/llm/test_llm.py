@@ -468,3 +468,52 @@ def test_pipeline_stages_keep_columns_and_run(spark):
     kept = {r.doc_id for r in first.select("doc_id").collect()}
     assert sum(q == 1 and i not in kept for i, q in lab.items()) <= 0.05 * len(lab)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_stages_against_brute_force_and_verdicts(spark, docs, plain):
+    import corpus_pipeline
+    from driftlens.llm import quality, quality_rules
+
+    stages, lab = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/labels.parquet")
+    whole = collections.Counter(map(tuple, docs.select("doc_id", "text").collect()))
+
+    def rows(name):
+        return collections.Counter((r.doc_id, r.text) for r in stages[name](spark, docs, SF).collect())
+
+    good = {r.doc_id for r in quality.classify(docs, lab).where("predicted = 1").collect()}
+    assert rows("quality classifier") == collections.Counter({k: n for k, n in whole.items() if k[0] in good})
+    passed = {r.doc_id for r in quality_rules.apply_rules(docs, lab).where("kept").collect()}
+    assert rows("quality rules") == collections.Counter({k: n for k, n in whole.items() if k[0] in passed})
+    groups = brute_components(plain, 5, 80)
+    assert rows("near copies") == collections.Counter({k: n for k, n in whole.items() if groups[k[0]][1] == k[0]})
+    want = sorted((i, digest) for i, size, gone, _, digest in brute_dedup(plain) if not gone or gone < size)
+    assert sorted((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows("repeated passages").elements()) == want
+
+
+def test_pipeline_run_packs_what_the_stages_keep(spark, docs):
+    import corpus_pipeline
+    from driftlens.llm import quality, quality_rules
+
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    good = quality.classify(docs, lab).where("predicted = 1").select("doc_id")
+    first = spark.createDataFrame(docs.join(good, "doc_id", "left_semi").collect(), docs.schema)
+    passed = {r.doc_id for r in quality_rules.apply_rules(first, lab).where("kept").collect()}
+    second = [r for r in first.select(*docs.columns).collect() if r.doc_id in passed]
+    groups = brute_components([(r.doc_id, r.text) for r in second], 5, 80)
+    third = [r for r in second if groups[r.doc_id][1] == r.doc_id]
+    cut = dict(corpus_pipeline.STAGES)["repeated passages"](spark, spark.createDataFrame(third, docs.schema), SF).collect()
+    want = sorted((i, digest) for i, size, gone, _, digest in brute_dedup([(r.doc_id, r.text) for r in third]) if not gone or gone < size)
+    assert sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in cut) == want
+    _, library = reference_tokenizer("word_bpe_49k.json")
+    ids = {r.doc_id: np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in cut}
+    pieces = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        pieces[r.doc_id].append((r.start, r.length))
+    assert set(pieces) == set(ids)
+    for i, spans in pieces.items():
+        at = 0
+        for start, length in sorted(spans):
+            assert start == at
+            at += length
+        assert at == len(ids[i])
