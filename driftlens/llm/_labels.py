@@ -15,11 +15,12 @@ def held_out(doc_id="doc_id"):
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` training documents.
+    """(doc_id, text, label) of at most ``rows`` training documents, one row a document.
 
-    The rows with the smallest hash of doc_id are taken, so a run repeats exactly. ``rows`` bounds the
-    broadcast side of the join. Repeated label rows of a document count once (the smallest label);
-    null labels and null ids are ignored.
+    The documents with the smallest hash of doc_id are taken, so a run repeats exactly; ``rows`` bounds the
+    broadcast side of the join and the result. Repeated label rows of a document count once (the smallest
+    label), repeated document rows count once (the smallest text; null only if every text is). Null labels and
+    null ids are ignored.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -28,4 +29,4 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by its PREFIX nearest pivots, in order. A block of vectors posts its rows
-in inverted files, one for each pivot; a query adds up the lists of its own pivots, which gives the
-Spearman footrule distance of every row in the block, and the best share of each block is ranked
-again by exact cosine in double precision.
-
-Pivots come from a bounded sample; every usable vector is indexed. Queries travel in blocks of at
-most QUERY_BLOCK; the candidates are never moved, and each task keeps only its best ``k`` per query.
-
-Defined results: vectors that are null, zero, of another dimension, or that hold a null or non-finite
-component take no part, nor do null ids; equal scores go to the smaller id; a query never returns its
-own id; with fewer candidates than ``k`` all are returned; extra columns are never read.
+Every vector is represented by its PREFIX nearest pivots, in order. A block of about BLOCK_ROWS vectors
+posts its rows in inverted files, one for each pivot; a query adds up the lists of its own pivots, which
+gives the Spearman footrule distance of every row in the block, and the best share of each block is
+ranked again by exact cosine in double precision.
+
+Pivots come from a bounded sample; every usable vector is indexed. Vectors are dealt evenly to blocks,
+whatever their ids, and the queries go to every block by a shuffle, so neither vectors nor queries pass
+through the driver. A block gives back its best ``k`` of each query.
+
+Defined results: vectors that are null, zero, or that hold a null or non-finite component take no part,
+nor do null ids, nor vectors of another dimension than the most frequent one (of equally frequent ones
+the largest counts); equal scores go to the smaller id; a query never returns its own id; of a repeated
+query id the smallest vector asks; a repeated candidate row is a candidate each time; with fewer
+candidates than ``k`` all are returned; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ PREFIX = 96
 SHARE = 0.12
 LEAST = 200
 SAMPLE = 4_096
-QUERY_BLOCK = 20_000
+BLOCK_ROWS = 10_000
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -37,14 +40,16 @@ def usable(table: DataFrame) -> DataFrame:
     return table.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & ~zero)
 
 
+def common_width(vectors: DataFrame) -> tuple[int, int]:
+    """The most frequent dimension (ties to the larger) and its number of vectors; zeros for an empty table."""
+    row = vectors.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    return (row["width"], row["count"]) if row else (0, 0)
+
+
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """Up to ``pivots`` distinct unit vectors from the SAMPLE rows whose ids hash lowest."""
+    """Up to ``pivots`` distinct unit vectors from the SAMPLE rows whose ids hash lowest; all are of one dimension."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
-    if not rows:
-        return np.zeros((0, 0))
-    width = len(rows[0])
-    distinct = list(dict.fromkeys(tuple(r) for r in rows if len(r) == width))[:pivots]
-    return unit(np.array(distinct, float))
+    return unit(np.array(list(dict.fromkeys(map(tuple, rows)))[:pivots], float))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -95,56 +100,53 @@ class Block:
 
 def search(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows of each row whose id ``every`` divides."""
-    vectors = usable(embeddings)
     spark = embeddings.sparkSession
-    pivots = choose_pivots(vectors)
-    width = pivots.shape[1]
-    vectors = vectors.where(F.size("embedding") == width)
-    queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    found = [_search_block(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), pivots, k) for b in range(blocks)]
-    if not found:
+    vectors = usable(embeddings).withColumn("vec_id", F.col("vec_id").cast("long"))
+    width, count = common_width(vectors)
+    if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    every_block = found[0]
-    for more in found[1:]:
-        every_block = every_block.unionByName(more)
+    vectors = vectors.where(F.size("embedding") == width)
+    shared = spark.sparkContext.broadcast(choose_pivots(vectors))
+    blocks = F.lit(-(-count // BLOCK_ROWS)).cast("long")
+    # dealt by position, so that no id, however often it repeats, fills a block
+    dealt = vectors.select(F.pmod(F.monotonically_increasing_id(), blocks).alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // BLOCK_ROWS))
+    met = dealt.unionByName(asked).repartition(tasks, "block").sortWithinPartitions("block", "asks")
+
+    def run(batches):
+        index: Block | None = None
+        at, rows = None, []
+        for batch in batches:
+            number, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            ids, raw = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), width)
+            edges = np.flatnonzero((np.diff(number) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for part in np.split(np.arange(len(ids)), edges):
+                if not len(part):
+                    continue
+                if number[part[0]] != at:
+                    at, index, rows = number[part[0]], None, []
+                if not asks[part[0]]:
+                    rows.append((ids[part], raw[part]))
+                elif rows or index:
+                    if index is None:
+                        index = Block(*(np.concatenate(x) for x in zip(*rows, strict=True)), shared.value, PREFIX)
+                        rows = []
+                    yield _answers(index, ids[part], raw[part], shared.value, k)
+
+    found = met.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every_block.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
-def _search_block(vectors: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
-    got = queries.toArrow()
-    width = pivots.shape[1]
-    if got.num_rows:
-        query_ids, raw = got.column("vec_id").to_numpy(), _matrix(got.column("embedding"), width)
-        query_units, query_ranks = unit(raw), permutations(raw, pivots, PREFIX)
-    else:
-        query_ids, query_units, query_ranks = np.zeros(0, np.int64), np.zeros((0, width)), np.zeros((0, PREFIX), np.int64)
-    shared = vectors.sparkSession.sparkContext.broadcast((pivots, query_ids, query_units, query_ranks.astype(np.int16)))
-
-    def run(batches):
-        pivots, query_ids, query_units, query_ranks = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = Block(batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), width), pivots, PREFIX)
-            for i, query_id in enumerate(query_ids):
-                ids, score = block.nearest(query_units[i], query_id, query_ranks[i], k)
-                ids, score = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], score])
-                keep = np.lexsort((ids, -score))[:k]
-                best[i] = ids[keep], score[keep]
-        sizes = [len(ids) for ids, _ in best]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([ids for ids, _ in best])), pa.array(np.concatenate([s for _, s in best]))],
-                names=["query_id", "vec_id", "score"],
-            )
-
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(tidy(run), "query_id long, vec_id long, score double")
+def _answers(index: Block, ids: np.ndarray, raw: np.ndarray, pivots: np.ndarray, k: int) -> pa.RecordBatch:
+    """(query_id, vec_id, score) of the best ``k`` of a block for each query."""
+    units, ranks = unit(raw), permutations(raw, pivots, PREFIX)
+    best = [index.nearest(u, i, r, k) for u, i, r in zip(units, ids, ranks, strict=True)]
+    found, scores = zip(*best, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], names=["query_id", "vec_id", "score"])

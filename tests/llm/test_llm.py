@@ -387,6 +387,42 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_do_not_hang_on_one_row_of_another_width(spark, monkeypatch):
+    from driftlens.llm import ann
+
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    want = {(r.query_id, r.rank): r.vec_id for r in ann.search(table).collect()}
+    first = table.orderBy(F.xxhash64("vec_id"), "vec_id").first().vec_id
+    odd = table.withColumn("embedding", F.when(F.col("vec_id") == first, F.slice("embedding", 1, 2)).otherwise(F.col("embedding")))
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.search(odd).collect()}
+    assert len(want) - 5 <= len(got) <= len(want) and first not in got.values()
+    # many blocks give the same answers as one, as long as every block is searched whole
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 60)
+    assert {(r.query_id, r.rank): r.vec_id for r in ann.search(table).collect()} == {(r.query_id, r.rank): r.vec_id for r in brute_neighbours(table)}
+
+
+def brute_neighbours(table):
+    from driftlens.llm import ann
+
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), ann.unit(np.array([r.embedding for r in rows], float))
+    out = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[q]
+        s[q] = -2
+        out += [Row(query_id=ids[q], rank=k + 1, vec_id=ids[j]) for k, j in enumerate(np.lexsort((ids, -s))[:5])]
+    return out
+
+
+def test_labelled_sample_is_bounded_and_counts_a_document_once(spark):
+    from driftlens.llm._labels import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), *[(3, "c")] * 500], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4)], "doc_id long, quality int")
+    got = {r.doc_id: r.text for r in labelled_sample(docs, lab, "quality", 9).collect()}
+    assert got == {i: t for i, t in {1: "a", 2: None, 3: "c"}.items() if zlib.crc32(str(i).encode()) % 5} and labelled_sample(docs, lab, "quality", 1).count() <= 1
+
+
 # -- suffix-array dedup ------------------------------------------------------------------------
 
 
