@@ -1,53 +1,67 @@
-"""Shared-storage tables that cut lineage, and release of shuffle space between phases."""
+"""Shared-storage tables that cut lineage."""
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local one is set only where none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local one is set only on a local master that names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "driftlens-checkpoints"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_end_with_the_job(spark: SparkSession):
+    """Spark removes the shuffle files of the jobs run inside as soon as each ends."""
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet under the shared folder; return the re-read table and its path.
 
-    The written table survives lost executors, so nothing downstream recomputes the stages before it.
+    The written table survives lost executors, so nothing downstream recomputes the stages before it, and the
+    shuffle files behind it go at once. A table that nobody discards goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftlens/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_end_with_the_job(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    place, files = _file_system(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that no later step reads (through Hadoop's file system, so any store works)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete tables that no later step reads."""
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+        place, files = _file_system(spark, path)
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished phases.
-
-    Twice, because plans are freed in two steps: Python's handles first, then what they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def _file_system(spark: SparkSession, path: str):
+    """The path and its file system, by Hadoop's interface, so any store works."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

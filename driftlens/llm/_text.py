@@ -15,9 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+SLICE_BYTES = 4 << 20
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -33,14 +37,14 @@ LOWER[65:91] += 32
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64 (kept per process, grown by doubling)."""
+    """base**0 .. base**(n-1) modulo 2**64; kept per process up to a chunk's length, built anew for longer texts."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base, np.uint64)
+        have = np.full(max(n, CHUNK_BYTES + 2), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if len(have) == CHUNK_BYTES + 2:
+            _powers[base] = have
     return have[:n]
 
 
@@ -128,27 +132,64 @@ def fitting(doc: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(doc[:n] == doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of text, each text whole."""
     for lo, hi, _, _ in text_chunks(batch.column(text), limit):
         yield batch.slice(lo, hi - lo)
 
 
-def tidy(run):
-    """The batch function, followed by a return of freed memory: Python workers live on between stages."""
+_held: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], object]):
+    """This process's copy of a large table, built once; it stays until a task that does not hold ``name`` starts."""
+    if name not in _held:
+        _held[name] = build()
+    return _held[name]
+
+
+def foreign(keep: str | None) -> bool:
+    """Whether this worker holds another operator's tables."""
+    return any(n != keep for n in _held)
+
+
+def release(keep: str | None = None) -> None:
+    """Drop the tables that other operators left in this worker, and give freed memory back to the system."""
+    if foreign(keep):
+        for name in [n for n in _held if n != keep]:
+            del _held[name]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run, holds: str | None = None):
+    """The batch function between two releases of memory: Python workers live on and serve one operator after another."""
 
     def tidied(batches):
+        if foreign(holds):
+            release(holds)
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            release(holds)
 
     return tidied
 
 
+def text_column(kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: T.DataType) -> Callable:
+    """A function of a text column, as map_text's kernels: only the text goes to Python and only the result comes back."""
+
+    def run(columns):
+        for column in columns:
+            parts = [pa.array(kernel(data, offsets)) for _, _, data, offsets in text_chunks(column)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], parts_type)
+
+    parts_type = to_arrow_type(kind)
+    return F.arrow_udf(tidy(run), kind, ArrowUDFType.SCALAR_ITER)
+
+
 def map_text(
     df: DataFrame,
     keep: list[str],
@@ -165,7 +206,7 @@ def map_text(
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(text)):  # small batches go back, so neither side buffers much
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), *map(pa.array, kernel(data, offsets))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), *(x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(data, offsets))], names=schema.names)
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import slices, tidy
+from ._text import held, slices, tidy
 
 #: Fixed by the byte-level pre-tokenizer: contractions, letters, numbers, other symbols, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -171,9 +170,9 @@ class Coder:
         return b"".join(map(self.merges.piece.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
-    return Coder(path)
+    """This worker's coder; it goes when a task of another operator starts."""
+    return held(path, lambda: Coder(path))
 
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
@@ -187,7 +186,7 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, holds=path), schema)
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
@@ -203,4 +202,4 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
                 text_hash.append(hashlib.sha256(coder(path).decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(numbers, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run, holds=path), schema)

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import discard, materialize, reclaim
-from ._text import LOWER, SPACE, U64, combine, fitting, mix, prefix_hash, runs, segment_hash, text_chunks, tidy
+from ._store import discard, materialize
+from ._text import LOWER, SPACE, U64, combine, fitting, mix, prefix_hash, runs, segment_hash, slices, text_chunks, tidy
 from .components import connected_components
 
 COMMON_WORDS = 1 << 16
 COMMON_GRAMS = 1 << 18
+COUNT_BYTES = 8 << 20
 CLASSES = 12
 CLASS_BITS = U64(6)
 GROUP = 256
@@ -49,20 +50,20 @@ def _words(data: np.ndarray, offsets: np.ndarray):
 def common_values(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and levels of the most frequent words, and of the most frequent n-grams, over all texts.
 
-    At most COMMON_WORDS and COMMON_GRAMS come to the driver. What is rare within every batch is not
-    reported, so counts are lower bounds; they only order n-grams and never decide a link.
+    At most COMMON_WORDS and COMMON_GRAMS come to the driver. What is rare within every COUNT_BYTES of
+    text is not reported, so counts are lower bounds; they only order n-grams and never decide a link.
     """
     nothing = np.zeros(0, np.uint64)
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, limit=COUNT_BYTES)):
             words, grams = [nothing], [nothing]
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 hashes, doc = _words(data, offsets)
                 words.append(hashes)
                 at = fitting(doc, size)
                 grams.append(combine(hashes, size)[at] >> CLASS_BITS)
-            for kind, values, least in ((0, words, 2), (1, grams, max(4, batch.num_rows // 2500))):
+            for kind, values, least in ((0, words, 2), (1, grams, 3)):
                 # sorted in place; only the values that are frequent enough are ever copied
                 every = np.concatenate(values)
                 values.clear()
@@ -259,10 +260,8 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int, common)
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets, sets_path = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common), "sets")
-    reclaim(spark)
     links, links_path = materialize(_verify(pairs, sets, percent), "links")
     discard(spark, sets_path)
-    reclaim(spark)
     return links, links_path
 
 
@@ -411,7 +410,6 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, where no id stands on different texts."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_values(docs, size))
-    reclaim(spark)
     signed, signed_path = materialize(signatures(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent, common), "signatures")
     classes = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     classes, classes_path = materialize(classes, "classes")
@@ -419,7 +417,6 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     posts = heads.select(F.col("doc_id").alias("id"), "n", F.explode("prefix").alias("token"))
     leaders = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("leader")).where("c > 1").select("token", F.col("leader.id").alias("lead"), F.col("leader.n").alias("lead_n"))
     met, met_path = materialize(posts.join(leaders, "token"), "meetings")
-    reclaim(spark)
     # pass one: everyone with the leader of each prefix n-gram they share
     first = _promising(met.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("lead_n").alias("a_n"), F.col("id").alias("b"), F.col("n").alias("b_n")), percent)
     first, first_path = materialize(first, "first-pairs")
@@ -431,19 +428,15 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     groups, groups_path = materialize(groups, "groups")
     prefixes = heads.select(F.col("doc_id").alias("id"), F.col("prefix").alias("tokens"))
     active, active_path = materialize(_blocks(groups, prefixes, percent, whole=False).distinct(), "active")
-    reclaim(spark)
     if not active.isEmpty():
         left = groups.join(active, ["lead", "id"], "left_semi")
         wanted = active.select(F.col("id").alias("doc_id")).distinct()
         sets, sets_path = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, common).select(F.col("doc_id").alias("id"), "tokens"), "sets")
-        reclaim(spark)
         more, more_path = materialize(_blocks(left, sets, percent, whole=True), "links")
         discard(spark, roots_path, sets_path)
-        reclaim(spark)
         roots, roots_path = connected_components(links.unionByName(more.select(F.col("lead").alias("a"), F.col("id").alias("b"))), "a", "b")
         discard(spark, more_path)
     discard(spark, met_path, first_path, links_path, groups_path, active_path)
-    reclaim(spark)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component"))
     result = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import cached_property, lru_cache
+from functools import cached_property
 from itertools import chain, filterfalse, islice
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize
-from ._text import slices, tidy
+from ._text import held, slices, tidy
 from .bpe import LATIN_ONLY
 
 SEQUENCE = 2048
@@ -99,9 +99,9 @@ class WordTokenizer:
         return [b"".join(map(known, words)) if words is not None else self._library(t).tobytes() for t, words in zip(texts, split, strict=True)]
 
 
-@lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """This worker's tokenizer; it goes when a task of another operator starts."""
+    return held(path, lambda: WordTokenizer(path))
 
 
 def cut(n: int) -> list[tuple[int, int]]:
@@ -136,7 +136,7 @@ def pieces(documents: DataFrame, path: str) -> DataFrame:
             columns = np.array(out, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *map(pa.array, columns)], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run, holds=path), schema)
 
 
 def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ._labels import held_out, labelled_sample
 from ._store import discard, materialize
-from ._text import SPACE, fitting, free_name, map_text, mix, per_doc, prefix_hash, runs, segment_hash, tidy
+from ._text import SPACE, fitting, map_text, mix, per_doc, prefix_hash, runs, segment_hash, text_column, tidy
 
 
 def _lut(chars: str) -> np.ndarray:
@@ -180,5 +180,8 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
     """The documents, with all their columns, that the classifier does not reject."""
-    name = free_name(documents, "quality_score")
-    return score(documents, train(documents, labels, **fit), documents.columns, name).where(F.col(name) >= threshold).drop(name)
+    model = train(documents, labels, **fit)
+    if model is None:
+        return documents.where(F.lit(0.5) >= threshold)
+    score_of = text_column(lambda d, o: model.score(statistics(d, o)), T.DoubleType())
+    return documents.where(score_of("text") >= threshold)
