@@ -11,16 +11,18 @@ through ``keep_good`` untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import labelled_sample
 from ._store import discard, materialize
-from ._text import LOWER, SPACE, U64, combine, fitting, free_name, map_text, mix, per_doc, prefix_hash, runs, segment_hash
+from ._text import LOWER, SPACE, U64, combine, fitting, map_text, mix, per_doc, prefix_hash, runs, segment_hash, text_column, tidy
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
@@ -133,64 +135,152 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * total + self.bias, -30, 30)))
 
 
-def _frequencies(data, offsets) -> np.ndarray:
-    """(documents, 3 * WIDTH) relative n-gram frequencies, for the bounded training sample."""
+def _frequencies(data, offsets) -> list[pa.Array]:
+    """Each document's relative n-gram frequencies as slots (ascending, of 3 * WIDTH) and their values."""
     n_docs = len(offsets) - 1
     (d1, s1), (d2, s2), (at, s3) = _slots(data, offsets)
     d3 = np.searchsorted(offsets, at, side="right") - 1
-    out = []
-    for doc, slots in ((d1, s1), (d2, s2), (d3, s3.astype(np.int64))):
-        counts = np.bincount(doc * WIDTH + slots, minlength=n_docs * WIDTH).reshape(n_docs, WIDTH)
-        out.append(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-    return np.concatenate(out, axis=1).astype(np.float32)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Accelerated full-batch gradient descent on the penalised logistic loss."""
-    scale = np.sqrt((x * x).mean(axis=0)) + 1e-4
-    x = x / scale
-    w, bias, w_mom, b_mom = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
-    probe = np.random.default_rng(1).normal(size=x.shape[1]).astype(np.float32)
-    for _ in range(8):  # power iteration: the step follows from the largest curvature
-        probe /= np.linalg.norm(probe)
-        probe = x.T @ (weight * (x @ probe))
-    rate = 1 / (0.25 * float(np.linalg.norm(probe)) + 0.25 + penalty)
-    for k in range(steps):
-        beta = k / (k + 3)
-        w_at, b_at = w + beta * (w - w_mom), bias + beta * (bias - b_mom)
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ w_at + b_at, -30, 30))) - y)
-        w_mom, b_mom = w, bias
-        w, bias = w_at - rate * (x.T @ error + penalty * w_at), b_at - rate * float(error.sum())
-    return w / scale, bias
-
-
-def train(documents: DataFrame, labels: DataFrame, rows: int = 4_000, penalty: float = 1e-4, steps: int = 150) -> Model | None:
-    """Fit on at most ``rows`` labelled documents, in one bounded task; None if there are none."""
+    keys, shares = [], []
+    for family, (doc, slots) in enumerate(((d1, s1), (d2, s2), (d3, s3.astype(np.int64)))):
+        key, n = np.unique(doc * (3 * WIDTH) + family * WIDTH + slots, return_counts=True)
+        keys.append(key)
+        shares.append(n / np.bincount(doc, minlength=n_docs)[key // (3 * WIDTH)])
+    key, share = np.concatenate(keys), np.concatenate(shares)
+    order = np.argsort(key)
+    key, share = key[order], share[order]
+    ends = pa.array(np.searchsorted(key, np.arange(n_docs + 1) * (3 * WIDTH)).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array((key % (3 * WIDTH)).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(share))]
+
+
+class _Rows:
+    """Sparse rows of one Arrow batch of the training sample."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        slots = batch.column("slots")
+        self.slot, self.share = slots.flatten().to_numpy(), batch.column("shares").flatten().to_numpy()
+        self.row = np.repeat(np.arange(batch.num_rows), slots.value_lengths().to_numpy())
+        self.n, self.y = batch.num_rows, batch.column("label").to_numpy()
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.slot] * self.share, minlength=self.n)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over rows of value * row."""
+        return np.bincount(self.slot, values[self.row] * self.share, minlength=3 * WIDTH)
+
+
+def _partition_sums(table: DataFrame, of: Callable[[_Rows], np.ndarray], width: int) -> np.ndarray:
+    """``of`` summed over all rows: one vector of fixed size comes back from each partition."""
+
+    def run(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_Rows(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+    return np.sum([np.zeros(width), *(np.frombuffer(r["sums"]) for r in table.mapInArrow(tidy(run), "sums binary").collect())], axis=0)
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with halved steps; every call of ``loss`` is one pass over the data, ``steps`` at most."""
+    x, (value, slope) = start, loss(start)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 1.0
+    for _ in range(steps - 1):
+        way, back = slope.copy(), []
+        for s, g in reversed(moves):
+            back.append((s @ way) / (s @ g))
+            way -= back[-1] * g
+        if moves:
+            s, g = moves[-1]
+            way *= (s @ g) / (g @ g)
+        else:
+            way /= max(float(np.linalg.norm(way)), 1e-12)
+        for (s, g), a in zip(moves, reversed(back), strict=True):
+            way += (a - (g @ way) / (s @ g)) * s
+        there = x - size * way
+        new, new_slope = loss(there)
+        if new > value - 1e-4 * size * float(slope @ way):
+            size /= 2
+            if size < 1e-4:
+                break
+            continue
+        s, g = there - x, new_slope - slope
+        if s @ g > 1e-12:
+            moves = [*moves[-memory + 1 :], (s, g)]
+        small = value - new < 1e-7 * max(abs(value), 1e-12)
+        x, value, slope, size = there, new, new_slope, 1.0
+        if small:
+            break
+    return x
+
+
+def logistic_loss(rows: _Rows, x: np.ndarray, scale: np.ndarray, per_class: np.ndarray) -> np.ndarray:
+    """Class-balanced log loss of weights x[:-1] (on scaled features) and bias x[-1], then its gradient."""
+    margin = rows.dot(x[:-1] / scale) + x[-1]
+    weight = 0.5 / per_class[rows.y.astype(int)]
+    error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - rows.y)
+    value = (weight * (np.logaddexp(0, margin) - rows.y * margin)).sum()
+    return np.concatenate([[value], rows.sums(error) / scale, [error.sum()]])
+
+
+def train(documents: DataFrame, labels: DataFrame, rows: int = 4_000, penalty: float = 1e-4, steps: int = 16, parts: int = 4) -> Model | None:
+    """Fit on at most ``rows`` labelled documents, a row each; None if there are none.
+
+    The sample stays distributed: every step sums loss and gradient by partition, and only those sums, of
+    fixed size, reach the driver. Four fifths of the sample fit the weights; the margins of the other fifth
+    (at most rows / 5 numbers) fit the calibration.
+    """
     spark = documents.sparkSession
     sample = labelled_sample(documents, labels, "quality", rows)
-    fields = [T.StructField("x", T.BinaryType())]
-    features = map_text(sample, ["doc_id", "label"], fields, lambda d, o: [np.array([r.tobytes() for r in _frequencies(d, o)] + [None], object)[:-1]])
-    table, path = materialize(features.repartition(4, "doc_id"), "rules-sample")
+    fields = [T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.DoubleType()))]
+    features = map_text(sample, ["doc_id", "label"], fields, _frequencies)
+    table, path = materialize(features.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(5))).repartition(parts, "doc_id"), "rules-sample")
     try:
-        got = table.orderBy(F.xxhash64("doc_id")).toArrow()
-        if not got.num_rows:
+        fit = table.where("part <> 0").coalesce(parts)
+        width = 3 * WIDTH
+        moments = _partition_sums(fit, lambda r: np.concatenate([np.bincount(r.slot, r.share**2, minlength=width), np.bincount(r.y.astype(int), minlength=2)]), width + 2)
+        per_class = np.maximum(moments[width:], 1)
+        if not moments[width:].sum():
             return None
-        x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, 3 * WIDTH)
-        y = got.column("label").to_numpy().astype(np.float32)
-        del got
-        cut = max(1, len(y) * 4 // 5)
-        share = np.array([max((y[:cut] == c).sum(), 1) for c in (0, 1)])
-        weight = (0.5 / share)[y[:cut].astype(int)].astype(np.float32)
-        w, _ = _logistic(x[:cut], y[:cut], weight, penalty, steps)
-        rest = x[cut:] @ w if cut < len(y) else x @ w
-        y_rest = y[cut:] if cut < len(y) else y
-        spread = max(float(rest.std()), 1e-6)
-        slope, bias = _logistic((rest[:, None] / spread).astype(np.float32), y_rest, np.full(len(y_rest), 1 / len(y_rest), np.float32), 1e-4, 400)
-        return Model(w.reshape(3, WIDTH).astype(float), float(slope[0]) / spread, float(bias))
+        scale = np.sqrt(moments[:width] / moments[width:].sum()) + 1e-4
+
+        def loss(x):
+            shared = spark.sparkContext.broadcast(x)
+            total = _partition_sums(fit, lambda r: logistic_loss(r, shared.value, scale, per_class), width + 2)
+            shared.destroy()
+            return total[0] + penalty / 2 * float(x[:-1] @ x[:-1]), total[1:] + penalty * np.append(x[:-1], 0)
+
+        weights = minimise(loss, np.zeros(width + 1), steps)[:-1] / scale
+        return Model(weights.reshape(3, WIDTH), *_calibrate(table, weights))
     finally:
         discard(spark, path)
 
 
+def _calibrate(table: DataFrame, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and bias (Platt) of the margins of the rows that the fit has not seen, or of all rows if there are none."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_Rows(batch).dot(weights)), batch.column("label")], names=["margin", "label"])
+
+    unseen = table.where("part = 0").mapInArrow(tidy(run), "margin double, label double").toPandas()
+    if unseen["label"].nunique() < 2:
+        unseen = table.mapInArrow(tidy(run), "margin double, label double").toPandas()
+    margin, y = unseen["margin"].to_numpy(), unseen["label"].to_numpy()
+    spread = max(float(margin.std()), 1e-6)
+
+    def loss(x):
+        z = margin / spread * x[0] + x[1]
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        return float((np.logaddexp(0, z) - y * z).mean()) + 5e-5 * x[0] ** 2, np.array([(error * margin).sum() / spread + 1e-4 * x[0], error.sum()])
+
+    slope, bias = minimise(loss, np.zeros(2), 400)
+    return float(slope) / spread, float(bias)
+
+
 FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("word_chars", T.LongType()),
@@ -220,6 +310,5 @@ def apply_rules(documents: DataFrame, labels: DataFrame, **fit) -> DataFrame:
 def keep_good(documents: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """The documents, with all their columns, that pass the rules and the model."""
     model = train(documents, labels, **fit)
-    name = free_name(documents, "kept")
-    field = [T.StructField(name, T.BooleanType())]
-    return map_text(documents, documents.columns, field, lambda d, o: [judge(d, o, model)[6]]).where(F.col(name)).drop(name)
+    kept = text_column(lambda d, o: judge(d, o, model)[6], T.BooleanType())
+    return documents.where(kept("text"))

@@ -123,6 +123,119 @@ def test_maximal_segments_against_definition():
     assert maximal_segments([]) == [] and maximal_segments([-1, -2]) == []
 
 
+def brute_segments(scores, shift=0):
+    """Ruzzo and Tompa's definition: the best segment, then the same to its left and to its right."""
+    best = max(((sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, i, j = best
+    return brute_segments(scores[:i], shift) + [(i + shift, j + shift, best[0])] + brute_segments(scores[j:], shift + j)
+
+
+def test_maximal_segments_against_brute_force():
+    from driftlens.llm.toxicity import maximal_segments
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 9, 17, 30):
+        for _ in range(40):
+            scores = rng.normal(-0.2, 1, n).tolist()
+            got, want = maximal_segments(scores), brute_segments(scores)
+            assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
+def test_maximal_segments_take_linear_time():
+    import time
+
+    from driftlens.llm.toxicity import maximal_segments
+
+    def took(n, scores):
+        began = time.perf_counter()
+        maximal_segments(scores * n)
+        return time.perf_counter() - began
+
+    for scores in ([1.0, -2.0], [1.0, -0.5], [2.0, -1.0, 0.5, -1.5]):
+        took(1000, scores)
+        assert took(64_000, scores) < 100 * max(min(took(4_000, scores) for _ in range(3)), 1e-3)  # quadratic time would give 256
+
+
+def test_gumbel_scale_recovers_the_planted_k():
+    from driftlens.llm.toxicity import gumbel_scale
+
+    rng = np.random.default_rng(5)
+    length = rng.integers(50, 500, 40_000)
+    best = (np.log(0.3 * length) - np.log(-np.log(rng.uniform(size=len(length))))) / 1.5
+    assert 0.25 < gumbel_scale(best, length, 1.5) < 0.35 and gumbel_scale(np.zeros(5), length[:5], 1.0) == 1.0
+
+
+def test_toxic_passages_name_the_planted_bytes(spark):
+    from driftlens.llm import toxicity
+
+    rng = np.random.default_rng(0)
+    calm = ["table", "garden", "river", "window", "paper", "morning", "letter", "bridge"]
+    foul = ["scumbagz", "vermino", "wretchyx"]
+    rows, marks = [], {}
+    for i in range(600):
+        words = rng.choice(calm, 40).tolist()
+        toxic = int(i % 4 == 0)
+        if toxic:
+            words[10:13] = rng.choice(foul, 3).tolist()
+            start = len(" ".join(words[:10])) + 1
+            marks[i] = (start, start + len(" ".join(words[10:13])))
+        else:
+            words[5:8] = ["sunshine"] * 3
+        rows.append((i, " ".join(words), toxic))
+    rows += [(1000, None, 0), (1001, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    assert (model.odds > 0).any() and (model.odds < 0).any()
+    got = {r.doc_id: (r.start, r.end) for r in toxicity.toxic_passages(df, model).collect()}
+    assert got == marks
+    with pytest.warns(UserWarning, match="tokens are significant"):
+        assert len(toxicity.train(df, df.select("doc_id", "toxic"), vocabulary=5).keys) == 5
+
+
+def test_quality_weights_solve_the_normal_equations(spark, docs):
+    from driftlens.llm import quality
+    from driftlens.llm._labels import labelled_sample
+
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, lab, dimensions=32)
+    rows = [r for r in labelled_sample(docs, lab, "quality", 20_000).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(5))).collect()]
+    stats = []
+    for r in rows:
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        stats.append(quality.statistics(data, np.array([0, len(data)]))[0])
+    x, part, y = np.array(stats), np.array([r.part for r in rows]), np.array([r.label for r in rows])
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))
+    z = model.features(x[part != 0])
+    n = len(z)
+    penalty = np.diag([max(1e-3 * n, 1e-6)] * 32 + [1e-9])
+    assert np.allclose((z.T @ z + penalty) @ model.weights, z.T @ y[part != 0])
+
+
+def test_rules_fit_equals_one_on_the_whole_sample(spark, docs):
+    from driftlens.llm import quality_rules as rules
+
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    one, many = rules.train(docs, lab, parts=1), rules.train(docs, lab, parts=5)
+    assert np.allclose(one.weights, many.weights, atol=1e-5 * np.abs(one.weights).max()) and np.isclose(one.slope, many.slope, rtol=1e-3)
+    # the loss and its gradient against dense arithmetic
+    data = np.frombuffer(b"a b c a bb c dd a", np.uint8)
+    offsets = np.array([0, 5, len(data)])
+    slots, shares = rules._frequencies(data, offsets)
+    batch = rules.pa.RecordBatch.from_arrays([slots, shares, rules.pa.array([1.0, 0.0])], names=["slots", "shares", "label"])
+    dense = np.zeros((2, 3 * rules.WIDTH))
+    for i, (s, v) in enumerate(zip(slots.to_pylist(), shares.to_pylist())):
+        dense[i, s] = v
+    assert np.allclose(dense.reshape(2, 3, -1).sum(axis=2), 1)
+    rng, scale = np.random.default_rng(0), np.full(3 * rules.WIDTH, 0.5)
+    x = rng.normal(size=3 * rules.WIDTH + 1)
+    out = rules.logistic_loss(rules._Rows(batch), x, scale, np.array([1.0, 1.0]))
+    margin = dense / scale @ x[:-1] + x[-1]
+    p, y = 1 / (1 + np.exp(-margin)), np.array([1.0, 0.0])
+    assert np.isclose(out[0], -0.5 * (np.log(p[0]) + np.log(1 - p[1]))) and np.allclose(out[1:], np.append((0.5 * (p - y)) @ dense / scale, (0.5 * (p - y)).sum()))
+
+
 def test_isotonic_is_monotone():
     from driftlens.llm.quality import isotonic
 
