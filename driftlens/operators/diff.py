@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
-
-
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys and change (removed, added or modified), by one full outer join.
 
@@ -25,11 +21,18 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[
     return a.join(b, on, "full_outer").select(*picked, change.alias("change")).where("change IS NOT NULL")
 
 
-def three_way(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """key, old and new value and status (removed, added, changed, same) of every key."""
-    a, b = old.select(key, F.col(value).alias("old_value")), new.select(key, F.col(value).alias("new_value"))
-    status = F.when(F.col("new_value").isNull(), "removed").when(F.col("old_value").isNull(), "added").when(F.col("old_value") != F.col("new_value"), "changed").otherwise("same")
-    return a.join(b, key, "full_outer").withColumn("status", status)
+def three_way(old: DataFrame, new: DataFrame, key: str | list[str], value: str) -> DataFrame:
+    """Keys, old and new value and status (removed, added, changed, same) of every key.
+
+    Null keys match each other; a null value is a value, not a missing key.
+    """
+    keys = [key] if isinstance(key, str) else key
+    a = old.select(*keys, F.col(value).alias("old_value"), F.lit(True).alias("here")).alias("a")
+    b = new.select(*keys, F.col(value).alias("new_value"), F.lit(True).alias("here")).alias("b")
+    on = reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+    status = F.when(F.col("b.here").isNull(), "removed").when(F.col("a.here").isNull(), "added").when(F.col("old_value").eqNullSafe(F.col("new_value")), "same").otherwise("changed")
+    picked = [F.when(F.col("a.here").isNull(), F.col(f"b.{k}")).otherwise(F.col(f"a.{k}")).alias(k) for k in keys]
+    return a.join(b, on, "full_outer").select(*picked, "old_value", "new_value", status.alias("status"))
 
 
 def content_churn(old: DataFrame, new: DataFrame, key: str, raw: str, fingerprint: str) -> DataFrame:

@@ -12,8 +12,10 @@ QUERIES, SQL, query = registrar()
 
 @query("""
 WITH suite AS (SELECT c_custkey AS test FROM customer), covers AS (SELECT DISTINCT o_custkey AS test, l_partkey AS cls FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 9 <> 0),
-affected AS (SELECT p_partkey AS cls, p_brand AS reason FROM part WHERE p_partkey % 40 = 0), changed AS (SELECT p_partkey AS cls FROM part WHERE p_partkey % 40 = 1),
-direct AS (SELECT test, array_to_string(list_sort(list(DISTINCT reason)), ' & ') AS why FROM covers JOIN affected USING (cls) GROUP BY test)
+affected AS (SELECT p_partkey AS cls, p_brand AS reason, p_size AS place FROM part WHERE p_partkey % 40 = 0 UNION ALL SELECT p_partkey, p_type, p_size - 7 FROM part WHERE p_partkey % 80 = 0),
+changed AS (SELECT p_partkey AS cls FROM part WHERE p_partkey % 40 = 1),
+per_class AS (SELECT cls::VARCHAR AS cls, cls AS key, string_agg(reason, ' & ' ORDER BY place, reason) AS reasons FROM affected GROUP BY 1, 2),
+direct AS (SELECT test, string_agg('covers ' || p.cls || ' <- ' || reasons, '; ' ORDER BY p.cls) AS why FROM covers JOIN per_class p ON p.key = covers.cls GROUP BY test)
 SELECT test, why FROM suite JOIN direct USING (test)
 UNION ALL SELECT test, 'changed since the map' FROM suite WHERE test IN (SELECT test FROM covers WHERE cls IN (SELECT cls FROM changed)) AND test NOT IN (SELECT test FROM direct)
 UNION ALL SELECT test, 'not in the map' FROM suite WHERE test NOT IN (SELECT test FROM covers)""")
@@ -21,25 +23,27 @@ def q22_test_selection(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("cls"))
     covers = table(spark, sf_dir, "orders").where("o_custkey % 9 <> 0").select("o_orderkey", F.col("o_custkey").alias("test")).join(items, "o_orderkey").select("test", "cls").distinct()
     part = table(spark, sf_dir, "part")
-    affected = part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("cls"), F.col("p_brand").alias("reason"))
+    affected = part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("cls"), F.col("p_brand").alias("reason"), F.col("p_size").alias("at"))
+    affected = affected.unionByName(part.where("p_partkey % 80 = 0").select(F.col("p_partkey").alias("cls"), F.col("p_type").alias("reason"), (F.col("p_size") - 7).alias("at")))
     changed = part.where("p_partkey % 40 = 1").select(F.col("p_partkey").alias("cls"))
     return router.select_tests(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("test")), covers, affected, changed)
 
 
-FAILED = "('com.acme.OrderServiceTest.places'),('OrderServiceTestIT.total'),('lower.case.only'),('com.acme.BootSmokeIT')"
-TESTS = "('OrderServiceTest'),('BootSmokeIT'),('PriceTest')"
+FAILED = "('com.acme.OrderServiceTest.places'),('OrderServiceTestIT.total'),('lower.case.only'),('com.acme.StartupProbeIT'),('com.acme.PriceTest#rounds'),('pkg.suite.m')"
+TESTS = "('OrderServiceTest'),('StartupProbeIT'),('com.acme.PriceTest'),('case'),('pkg.suite')"
 
 
 @query(f"""
 WITH f(name) AS (VALUES {FAILED}), t(test) AS (VALUES {TESTS}),
-k AS (SELECT name, list_filter(regexp_split_to_array(name, '[^A-Za-z0-9_$]+'), lambda x: regexp_matches(x, '^[A-Z]'))[-1] AS token FROM f)
-SELECT DISTINCT name, test FROM k JOIN t ON token = test OR starts_with(token, test)""")
+parts AS (SELECT x, string_split(replace(x, '#', '.'), '.') AS p FROM (SELECT name AS x FROM f UNION SELECT test FROM t)),
+k AS (SELECT x, CASE WHEN len(p) = 1 THEN p[1] ELSE coalesce(list_filter(p, lambda y: regexp_matches(y, '^[A-Z]'))[-1], p[-2]) END AS token FROM parts)
+SELECT DISTINCT name, test FROM f JOIN t ON true JOIN k kf ON kf.x = name JOIN k kt ON kt.x = test WHERE kf.token = test OR starts_with(name, test || '.') OR kf.token = kt.token""")
 def q23_test_attribution(spark, sf_dir):
     return router.attribute(values(spark, "name", FAILED), values(spark, "test", TESTS))
 
 
 ENTRIES = "('smoke','smoke',1),('rollback-path','rollback',1),('contract','contract',2)"
-TAGGED = "('smoke','BootSmokeIT'),('contract','PriceTest'),('smoke','LoginIT')"
+TAGGED = "('smoke','StartupProbeIT'),('contract','PriceTest'),('smoke','LoginIT')"
 
 
 @query(f"""
@@ -72,12 +76,12 @@ def q26_status_case(spark, sf_dir):
 
 
 @query("""
-WITH g AS (SELECT o_orderpriority, max(o_orderkey % 6) AS r FROM orders WHERE o_orderkey % 1000 < 3 GROUP BY 1)
-SELECT o_orderpriority, CASE r WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'F' ELSE '?' END AS grade, CASE WHEN r <= 1 THEN 'auto' WHEN r <= 4 THEN 'human' ELSE 'fail' END AS decision FROM g""")
+WITH g AS (SELECT o_orderpriority, o_orderstatus, max(o_orderkey % 5) FILTER (o_custkey % 3 <> 0) AS r FROM orders GROUP BY 1, 2)
+SELECT o_orderpriority, o_orderstatus, CASE r WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'F' ELSE '?' END AS grade, CASE WHEN r <= 1 THEN 'auto' WHEN r <= 4 THEN 'human' ELSE 'fail' END AS decision FROM g""")
 def q33_cab_gate(spark, sf_dir):
-    worst = table(spark, sf_dir, "orders").where("o_orderkey % 1000 < 3").groupBy("o_orderpriority").agg(F.max(F.col("o_orderkey") % 6).alias("r"))
+    worst = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.max(F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderkey") % 5)).alias("r"))
     grade = F.coalesce(F.get(F.array(*map(F.lit, "ABCDF")), F.col("r").cast("int")), F.lit("?"))
-    return worst.select("o_orderpriority", grade.alias("grade")).select("o_orderpriority", "grade", router.cab_decision(F.col("grade")).alias("decision"))
+    return worst.select("o_orderpriority", "o_orderstatus", grade.alias("grade")).withColumn("decision", router.cab_decision(F.col("grade")))
 
 
 GATE = "('smoke','OPEN','run it'),('rollback-path','OPEN','rehearse'),('canary','CLOSED','done')"

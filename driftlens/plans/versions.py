@@ -31,22 +31,25 @@ CATALOG = "('org.alpha','core','5.3.18','5.3.18.rhlw-00002'),('org.alpha','core'
 
 @query(f"""
 WITH c(grp, artifact, version) AS (VALUES {COMPONENTS}), k(grp, artifact, base_version, full_version) AS (VALUES {CATALOG}),
-m AS (SELECT c.*, k.base_version, k.full_version AS fv FROM c LEFT JOIN k ON c.artifact = k.artifact AND (c.grp = k.grp OR k.grp IS NULL AND NOT EXISTS (SELECT 1 FROM k o WHERE o.grp = c.grp AND o.artifact = c.artifact)))
-SELECT grp, artifact, version,
-  CASE WHEN bool_or(coalesce(base_version = version OR fv = version, false)) THEN 'exact' WHEN bool_or(coalesce({KEY.format("base_version")} >= {KEY.format("regexp_replace(version, '[.-](rhlw|redhat)-\\d+$', '')")}, false)) THEN 'near' ELSE 'uncovered' END AS bucket,
-  coalesce(max(fv) FILTER (base_version = version), max(fv) FILTER (fv = version)) AS full_version
-FROM m GROUP BY grp, artifact, version""")
+m AS (SELECT c.*, k.base_version, k.full_version AS fv, {KEY.format("base_version")} AS bk, {KEY.format("regexp_replace(version, '[.-](rhlw|redhat)-\\d+$', '')")} AS vk
+  FROM c LEFT JOIN k ON c.artifact = k.artifact AND (c.grp = k.grp OR k.grp IS NULL AND NOT EXISTS (SELECT 1 FROM k o WHERE o.grp = c.grp AND o.artifact = c.artifact))),
+b AS (SELECT grp, artifact, version,
+  CASE WHEN bool_or(coalesce(base_version = version OR fv = version, false)) THEN 'exact' WHEN bool_or(coalesce(bk >= vk, false)) THEN 'near' ELSE 'uncovered' END AS bucket,
+  coalesce(max(fv) FILTER (base_version = version), max(fv) FILTER (fv = version)) AS full_version, string_agg(fv, ',' ORDER BY bk) FILTER (bk >= vk) AS forward
+FROM m GROUP BY grp, artifact, version)
+SELECT grp, artifact, version, bucket, full_version, CASE WHEN bucket = 'near' THEN forward END AS serviced FROM b""")
 def q13_catalog_bucket(spark, sf_dir):
-    return catalog.bucket(values(spark, "grp, artifact, version", COMPONENTS), values(spark, "grp, artifact, base_version, full_version", CATALOG))
+    found = catalog.bucket(values(spark, "grp, artifact, version", COMPONENTS), values(spark, "grp, artifact, base_version, full_version", CATALOG))
+    return found.withColumn("serviced", F.array_join("serviced", ","))
 
 
-TARGETS = "('org.alpha','core','5.3.20'),('com.gamma','json','2.8.0'),('org.beta','yaml','1.33')"
-ADVISORIES = "('CVE-1','org.alpha:core','5.3.18','first'),('CVE-1','core','5.3.20','second'),('CVE-2','org.alpha:core','6.0.0','later'),('CVE-3','json','2.7.0','gamma'),('CVE-3','com.gamma:json','2.6.5','lower'),('CVE-4','other:yaml','1.32','yaml'),('CVE-5','notjson','1.0','no')"
+TARGETS = "('org.alpha','core','5.3.20.rhlw-00001'),('org.alpha','core','6.1.0'),('com.gamma','json','2.8.0-redhat-2'),('org.beta','yaml','1.33'),('org.beta','yaml','1.32.rhlw-7')"
+ADVISORIES = "('CVE-1','org.alpha:core','5.3.18','first'),('CVE-1','core','5.3.20.rhlw-00001','second'),('CVE-1','core','5.3.20.rhlw-00000','lower'),('CVE-2','org.alpha:core','6.0.0','later'),('CVE-3','json','2.7.0','gamma'),('CVE-3','com.gamma:json','2.6.5','lower'),('CVE-4','other:yaml','1.32','yaml'),('CVE-5','notjson','1.0','no')"
 
 
 @query(f"""
 WITH t(grp, artifact, version) AS (VALUES {TARGETS}), a(cve, package, fixed, summary) AS (VALUES {ADVISORIES}),
-m AS (SELECT t.artifact, t.version, a.* FROM t JOIN a ON a.package = t.grp || ':' || t.artifact OR a.package = t.artifact OR ends_with(a.package, ':' || t.artifact)),
+m AS (SELECT t.artifact, t.version, a.* FROM (SELECT * FROM t WHERE regexp_matches(version, '[.-](rhlw|redhat)-[0-9]+')) t JOIN a ON a.package = t.grp || ':' || t.artifact OR a.package = t.artifact OR ends_with(a.package, ':' || t.artifact)),
 s AS (SELECT *, row_number() OVER (PARTITION BY artifact, version, cve ORDER BY fixed = version DESC, {KEY.format("fixed")} DESC) AS rn FROM m WHERE fixed = version OR {KEY.format("version")} >= {KEY.format("fixed")})
 SELECT artifact, version, cve, fixed, substr(summary, 1, 240) AS summary FROM s WHERE rn = 1""")
 def q14_cve_fixed(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -43,7 +44,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a local folder only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "driftlens-checkpoints"))
+    """Use the cluster's shared ``spark.checkpoint.dir``; on a local master that names none (tests), a local folder.
+
+    What is checkpointed goes when the application ends.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "driftlens-checkpoints"))
+    place = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)

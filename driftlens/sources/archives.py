@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import struct
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +15,31 @@ from pyspark.sql import functions as F
 
 from .classfile import parse_class
 
+#: Resources over so many bytes are listed and hashed, but their text is not kept, so nothing is searched in it (a parameter of the readers).
 TEXT_LIMIT = 262_144
+ROWS_PER_FRAME = 500
 KEY = "struct<cls: string, name: string, desc: string>"
 ENTRY = f"""path string, entry string, kind string, sha256 string, text string, cls string, access int, parent string,
 interfaces array<string>, members array<struct<kind: string, name: string, desc: string, access: int, calls: array<{KEY}>, uses: array<string>>>,
 refs array<{KEY}>, class_refs array<string>, strings array<string>, fingerprint string"""
 
 
-def _entries(path: str, content: bytes):
+def _entries(path: str, content: bytes, text_limit: int | None):
     blank = dict.fromkeys(("text", "cls", "access", "parent", "interfaces", "members", "refs", "class_refs", "strings", "fingerprint"))
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content or b""))
+    except zipfile.BadZipFile:
+        yield {"path": path, "entry": None, "sha256": None, **blank, "kind": "broken"}
+        return
+    with archive:
         for info in archive.infolist():
             if info.is_dir():
                 continue
-            data = archive.read(info)
+            try:
+                data = archive.read(info)
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):
+                yield {"path": path, "entry": info.filename, "sha256": None, **blank, "kind": "broken"}
+                continue
             row = {"path": path, "entry": info.filename, "sha256": hashlib.sha256(data).hexdigest(), **blank}
             if info.filename.endswith(".class"):
                 try:
@@ -39,7 +52,7 @@ def _entries(path: str, content: bytes):
                 yield row | {"kind": "class", "cls": c.name, "access": c.access, "parent": c.parent, "interfaces": c.interfaces, "members": members, "refs": [key(x) for x in c.refs], "class_refs": c.class_refs, "strings": c.strings, "fingerprint": c.fingerprint}
             else:
                 text = None
-                if len(data) <= TEXT_LIMIT:
+                if text_limit is None or len(data) <= text_limit:
                     try:
                         text = data.decode("utf-8")
                     except UnicodeDecodeError:
@@ -47,21 +60,22 @@ def _entries(path: str, content: bytes):
                 yield row | {"kind": "resource", "text": text}
 
 
-def read_archives(spark: SparkSession, path: str, glob: str = "*.jar") -> DataFrame:
-    """One row for every entry of every archive under ``path``; unparsable classes have kind ``unparsed``."""
-    return scan_archives(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+def read_archives(spark: SparkSession, path: str, glob: str = "*.jar", text_limit: int | None = TEXT_LIMIT) -> DataFrame:
+    """One row for every entry of every archive under ``path``; unparsable classes have kind ``unparsed``, unreadable
+    archives and entries kind ``broken``. Resources over ``text_limit`` bytes (None: no limit), or not in UTF-8, have no text."""
+    return scan_archives(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path), text_limit)
 
 
-def scan_archives(files: DataFrame) -> DataFrame:
+def scan_archives(files: DataFrame, text_limit: int | None = TEXT_LIMIT) -> DataFrame:
     """The same, from a table of (path, content)."""
     fields = ["path", "entry", "kind", "sha256", "text", "cls", "access", "parent", "interfaces", "members", "refs", "class_refs", "strings", "fingerprint"]
 
     def run(batches):
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = list(_entries(path, content))
-                if rows:
-                    yield pd.DataFrame(rows, columns=fields).astype({"access": "Int32"})
+                rows = _entries(path, content, text_limit)
+                while part := list(itertools.islice(rows, ROWS_PER_FRAME)):
+                    yield pd.DataFrame(part, columns=fields).astype({"access": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, ENTRY)
 

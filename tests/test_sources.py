@@ -100,3 +100,11 @@ def test_recordings(spark):
     data = recording([("a/B", [0, 0, 1]), ("a/B", [0, 0, 0]), ("a/C", [0] * 300), ("a/D", [0] * 299 + [1]), ("a/E", [])])
     rows = archives.scan_recordings(spark.createDataFrame([("t.exec", data)], "path string, content binary")).collect()
     assert {(r.cls, r.covered) for r in rows} == {("a/B", True), ("a/C", False), ("a/D", True), ("a/E", False)}
+
+
+def test_broken_archives_and_long_texts_are_told_apart(spark):
+    good = jar({"a/B.class": make_class(), "long.txt": b"x" * 300_000})
+    rows = archives.scan_archives(spark.createDataFrame([("good", good), ("bad", b"not a zip"), ("cut", good[:-30]), ("empty", b"")], "path string, content binary")).collect()
+    assert sorted((r.path, r.kind) for r in rows) == [("bad", "broken"), ("cut", "broken"), ("empty", "broken"), ("good", "class"), ("good", "resource")]
+    text = lambda limit: [r.text for r in archives.scan_archives(spark.createDataFrame([("g", good)], "path string, content binary"), limit).where("kind = 'resource'").collect()]
+    assert text(archives.TEXT_LIMIT) == [None] and len(text(None)[0]) == 300_000
