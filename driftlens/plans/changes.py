@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import members
-from ..operators import diff, grading
+from ..operators import diff, grading, hazards
 from .base import registrar, table
 
 QUERIES, SQL, query = registrar()
@@ -138,13 +138,14 @@ def q09_grade_rules(spark, sf_dir):
 SELECT o_orderstatus AS lane, count(*) FILTER (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') AS n_direct, count(*) FILTER (NOT (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%')) AS n_transitive
 FROM orders GROUP BY o_orderstatus""")
 def q10_lane_histogram(spark, sf_dir):
-    direct = F.col("o_orderpriority").rlike("^[12]")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("lane")).agg(F.count_if(direct).alias("n_direct"), F.count_if(~direct).alias("n_transitive"))
+    libraries = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("lane"), (~F.col("o_orderpriority").rlike("^[12]")).alias("transitive"))
+    return grading.lane_histogram(libraries)
 
 
 @query("SELECT c_nationkey, coalesce(bool_and(c_acctbal > -900), false) AS shrink_allowed FROM customer GROUP BY c_nationkey")
 def q11_all_lanes_shrinkable(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.coalesce(F.bool_and(F.col("c_acctbal") > -900), F.lit(False)).alias("shrink_allowed"))
+    graded = table(spark, sf_dir, "customer").select("c_nationkey", F.when(F.col("c_acctbal") > -900, "B").otherwise("D").alias("grade"), F.lit(None).cast("string").alias("effective_grade"))
+    return grading.shrink_allowed(graded, ["c_nationkey"])
 
 
 @query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '[a-zA-Z_$][\\w$]*(?:\\.[a-zA-Z_$][\\w$]*){2,}')) AS name FROM pages")
@@ -158,10 +159,9 @@ SELECT page_id, host FROM pages JOIN hosts ON host <> '' AND strpos(url, host ||
 def q16_relocated_substring(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     hosts = pages.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).distinct().where("host <> ''")
-    # every part that is followed by a slash is a candidate host: an equi join in place of a nested loop
-    parts = pages.select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("url", F.lit("([^/]+)/"), F.lit(1)))).alias("part"))
-    tails = parts.select("page_id", "url", "part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("at")).select("page_id", "url", F.expr("substring(part, at)").alias("host"))
-    return tails.join(hosts, "host").where(F.expr("instr(url, concat(host, '/')) > 1")).select("page_id", "host").distinct()
+    entries = pages.select(F.col("page_id").alias("app"), F.col("url").alias("entry"), F.lit("class").alias("kind"))
+    found = hazards.relocated(entries, hosts.select(F.col("host").alias("pair"), F.col("host").alias("package")))
+    return found.select(F.col("app").alias("page_id"), F.col("pair").alias("host")).distinct()
 
 
 @query("""
@@ -208,11 +208,11 @@ WITH o AS (SELECT l_suppkey, l_partkey, (l_orderkey % 5)::INT AS g, (l_orderkey
 best AS (SELECT l_suppkey, l_partkey, min(e) AS be, max(e) AS we FROM o GROUP BY 1, 2),
 per AS (SELECT b.l_suppkey, b.l_partkey, b.be, max(o.g) AS wg FROM best b JOIN o ON o.l_suppkey = b.l_suppkey AND o.l_partkey = b.l_partkey AND o.e = b.we
   AND (NOT o.in_place) = (SELECT max(NOT i.in_place) FROM o i WHERE i.l_suppkey = b.l_suppkey AND i.l_partkey = b.l_partkey AND i.e = b.we) GROUP BY 1, 2, 3)
-SELECT l_suppkey, max(be)::INT AS recommended, max(wg)::INT AS without_path, count(*) AS n_libraries FROM per GROUP BY l_suppkey""")
+SELECT l_suppkey, substr('ABCDF', max(be) + 1, 1) AS project_grade, substr('ABCDF', max(wg) + 1, 1) AS without_best_path, count(*) AS n_libraries FROM per GROUP BY l_suppkey""")
 def q31_project_rollup(spark, sf_dir):
-    options = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.struct((F.col("l_orderkey") % 3).cast("int").alias("e"), (F.col("l_returnflag") != "N").alias("later"), (F.col("l_orderkey") % 5).cast("int").alias("g")).alias("o"))
-    per = options.groupBy("l_suppkey", "l_partkey").agg(F.min("o").alias("best"), F.max("o").alias("worst"))
-    return per.groupBy("l_suppkey").agg(F.max("best.e").alias("recommended"), F.max("worst.g").alias("without_path"), F.count("*").alias("n_libraries"))
+    grade = lambda mod: grading.unrank((F.col("l_orderkey") % mod).cast("int"))
+    options = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("library"), grade(5).alias("grade"), grade(3).alias("effective_grade"), (F.col("l_returnflag") == "N").alias("in_place"))
+    return grading.project_rollup(options, ["l_suppkey"])
 
 
 @query("""

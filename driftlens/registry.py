@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import changes, graphs, gates, versions
+from .plans import changes, gates, graphs, libraries, versions
 
 QUERIES, SQL = {}, {}
-for _module in (changes, versions, graphs, gates):
+for _module in (changes, versions, graphs, gates, libraries):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
