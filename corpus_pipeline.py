@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm import ngram_join, packing, quality, quality_rules, suffix_dedup
-from driftlens.llm._store import materialize
+from driftlens.llm._store import discard, materialize
 from driftlens.llm.queries import tokenizer_file
 
 
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each to the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
