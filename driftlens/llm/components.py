@@ -23,12 +23,12 @@ def connected_components(links: DataFrame, a: str, b: str) -> tuple[DataFrame, s
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        large, large_path = materialize(large, "large-star")
+        # read twice, but exchanged once: both reads share the exchange of the distinct
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges, new_path = materialize(small, "edges")
-        discard(spark, path, large_path)
+        discard(spark, path)
         path, state = new_path, _state(edges)
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")), path
