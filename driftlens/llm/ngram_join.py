@@ -9,9 +9,13 @@ and a subtree is left as soon as the lengths that remain cannot make up the over
 
 The comparison has two passes. The first compares each document with one leader for every prefix
 n-gram, which ties groups of copies together at linear cost. Documents that meet have a leader in
-common; the second pass compares all pairs within a leader's group that are not yet connected, block
-by block, first their prefixes and then, for those that may be linked, their sets. No pair that can be
-linked is left out, and no task gathers more than two blocks.
+common; the second pass compares the pairs within a leader's group that are not yet connected, block
+by block, first their prefixes and then, for those that may be linked, their sets. Members already
+connected among themselves meet only the others, so a group of copies costs its size times the few
+that are not of it. No pair that can be linked is left out, and no task gathers more than two blocks.
+
+Sets are compared by 58-bit hashes of their n-grams, not by the words; two n-grams of one pair of
+documents fall together with a chance of about their number of pairs in 2**58.
 
 Defined results: texts without words, and null texts, have no n-gram and are linked with nothing;
 texts with fewer words than n have their word sequence as the only n-gram; texts are read whole;
@@ -40,6 +44,8 @@ GROUP = 256
 BLOCK_VALUES = 100_000
 STEP = 64
 NEVER = 1 << 40
+HOT = 4096
+SALTS = 64
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -202,14 +208,27 @@ def trie_matches(query: bytes, members: list[bytes], percent: int) -> list[bool]
     return out
 
 
+def _met(rows: DataFrame, sizes: DataFrame, key: str, total: int, by: str) -> DataFrame:
+    """``rows`` with the columns of their ``key`` in ``sizes``, whose ``c`` is the number of rows with that key.
+
+    Keys of more than one in HOT of all rows, of which there are HOT at most, are broadcast, and their rows
+    are dealt over SALTS parts by the hash of ``by``, so that no key fills a task.
+    """
+    often = F.col("c") * HOT > total
+    hot = sizes.where(often).select(key, F.lit(SALTS).alias("salts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), "salts"), F.lit(0)).cast("int")).drop("salts")
+    every = F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0)))
+    return dealt.join(sizes.withColumn("salt", every), [key, "salt"]).drop("c", "salt")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar enough.
 
     Pairs are grouped by ``a``; large groups are parted by a salt, and ``a``'s set goes to every part.
     """
     spark = pairs.sparkSession
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("c")).withColumn("parts", F.ceil(F.col("c") / GROUP).cast("long"))
+    salted = _met(pairs, many, "a", pairs.count(), "b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
     members = salted.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "tokens")
     heads = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")).join(sets.withColumnRenamed("doc_id", "a"), "a")
     rows = members.unionByName(heads.select("a", "salt", F.lit(None).cast(members.schema["b"].dataType).alias("b"), "tokens"))
@@ -338,14 +357,20 @@ def _block_links(first: list, second: list, percent: int, whole: bool) -> list[t
 def _blocks(groups: DataFrame, values: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Compare all documents of different roots within each leader's group, in blocks of bounded size.
 
-    Every pair of blocks of a group is one unit of work. Returns (lead, id): with ``whole`` sets the
-    two ends of links that connect roots, else the members that may have a link.
+    Members of the group's most frequent root have blocks of their own, which meet the other blocks but
+    not each other. Every pair of blocks that meet is one unit of work. Returns (lead, id): with ``whole``
+    sets the two ends of links that connect roots, else the members that may have a link.
     """
     spark = groups.sparkSession
-    mixed = groups.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"), F.sum("n").alias("v")).where("low < high")
-    parts = mixed.select("lead", F.ceil(F.greatest(F.col("c") / GROUP, F.col("v") / BLOCK_VALUES)).cast("long").alias("parts"))
-    placed = groups.join(parts, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
-    rows = placed.join(values, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    by_root = groups.groupBy("lead", "root").agg(F.count("*").alias("c"), F.sum("n").alias("v"))
+    by_lead = by_root.groupBy("lead").agg(F.max(F.struct("c", "root", "v")).alias("home"), F.sum("c").alias("c"), F.sum("v").alias("v"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda c, v: F.ceil(F.greatest(c / GROUP, v / BLOCK_VALUES)).cast("long")
+    parts = by_lead.select("lead", "c", F.col("home.root").alias("home"), blocks(F.col("home.c"), F.col("home.v")).alias("at_home"), blocks(F.col("c") - F.col("home.c"), F.col("v") - F.col("home.v")).alias("away"))
+    home, drawn = F.col("root") == F.col("home"), F.xxhash64("id")
+    block = F.when(home, F.col("away") + F.pmod(drawn, F.col("at_home"))).otherwise(F.pmod(drawn, F.col("away")))
+    placed = _met(groups, parts, "lead", groups.count(), "id").withColumn("block", block)
+    last = F.col("away") - 1 + F.when(home, 0).otherwise(F.col("at_home"))
+    rows = placed.withColumn("last", last).select("lead", "id", "root", "n", "block", "last").join(values, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "tokens")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = rows.repartition(count, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "block", "id")
@@ -414,9 +439,11 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     classes, classes_path = materialize(classes, "classes")
     heads = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    posts = heads.select(F.col("doc_id").alias("id"), "n", F.explode("prefix").alias("token"))
-    leaders = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("leader")).where("c > 1").select("token", F.col("leader.id").alias("lead"), F.col("leader.n").alias("lead_n"))
-    met, met_path = materialize(posts.join(leaders, "token"), "meetings")
+    heads, heads_path = materialize(heads.select(F.col("doc_id").alias("id"), "n", F.col("prefix").alias("tokens")), "heads")
+    posts = heads.select("id", "n", F.explode("tokens").alias("token"))
+    leaders = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("leader")).where("c > 1").select("token", "c", F.col("leader.id").alias("lead"), F.col("leader.n").alias("lead_n"))
+    total = heads.agg(F.sum(F.size("tokens")).alias("total")).first()["total"] or 0
+    met, met_path = materialize(_met(posts, leaders, "token", total, "id"), "meetings")
     # pass one: everyone with the leader of each prefix n-gram they share
     first = _promising(met.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("lead_n").alias("a_n"), F.col("id").alias("b"), F.col("n").alias("b_n")), percent)
     first, first_path = materialize(first, "first-pairs")
@@ -426,8 +453,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     met_leader = met.select("lead", "id", "n").unionByName(met.select("lead", F.col("lead").alias("id"), F.col("lead_n").alias("n"))).distinct()
     groups = met_leader.join(roots.withColumnRenamed("node", "id"), "id", "left").select("lead", "id", "n", F.coalesce("root", "id").alias("root"))
     groups, groups_path = materialize(groups, "groups")
-    prefixes = heads.select(F.col("doc_id").alias("id"), F.col("prefix").alias("tokens"))
-    active, active_path = materialize(_blocks(groups, prefixes, percent, whole=False).distinct(), "active")
+    active, active_path = materialize(_blocks(groups, heads.select("id", "tokens"), percent, whole=False).distinct(), "active")
     if not active.isEmpty():
         left = groups.join(active, ["lead", "id"], "left_semi")
         wanted = active.select(F.col("id").alias("doc_id")).distinct()
@@ -436,7 +462,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
         discard(spark, roots_path, sets_path)
         roots, roots_path = connected_components(links.unionByName(more.select(F.col("lead").alias("a"), F.col("id").alias("b"))), "a", "b")
         discard(spark, more_path)
-    discard(spark, met_path, first_path, links_path, groups_path, active_path)
+    discard(spark, heads_path, met_path, first_path, links_path, groups_path, active_path)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component"))
     result = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

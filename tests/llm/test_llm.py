@@ -474,6 +474,26 @@ def test_ngram_join_compares_every_text_of_a_repeated_id(spark):
     assert kept.columns == df.columns and collections.Counter((r.doc_id, r.text) for r in kept.collect()) == want
 
 
+def test_ngram_join_blocks_of_hot_keys(spark, monkeypatch):
+    """Small blocks, and every key hot: connected members and the others still all meet."""
+    from driftlens.llm import ngram_join
+
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # one chain of near copies, two clusters, and texts that only share their rarest words
+        w = list(base)
+        for at in rng.integers(0, 60, 0 if i % 3 else 1 + i % 4):
+            w[at] = f"e{rng.integers(0, 6)}"
+        rows.append((i, " ".join(w if i < 110 else ["rare", "pair", "here", *(f"x{i % 7}y{k}" for k in range(i % 9 + 25))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent, group, hot in ((3, 90, 8, 1 << 40), (3, 60, 8, 1 << 40), (3, 90, 8, 0), (5, 80, 3, 20)):
+        monkeypatch.setattr(ngram_join, "GROUP", group)
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, size, percent).collect()}
+        assert got == brute_components(rows, size, percent)
+
+
 # -- nearest neighbours ------------------------------------------------------------------------
 
 
