@@ -14,10 +14,12 @@ anchor, so equal windows have equal anchors. Three passes over whole texts:
 
 An anchor that many documents share is settled within its batch first (equal surroundings leave one
 row for each batch), and the windows of very common anchors travel under their own hashes, so no
-task gathers all holders of one string.
+task gathers all holders of one string. A string that a document holds at many places travels once,
+with the list of its places.
 
 Defined results: null texts count as empty; texts shorter than SPAN lose nothing; texts are read
-whole; rows that share an id never remove each other's bytes; a null id neither removes nor loses;
+whole; rows that share an id never remove each other's bytes, and must hold one text (spans are kept
+by id, so where texts differ each row loses the spans of all); a null id neither removes nor loses;
 ``deduplicate`` drops partial UTF-8 characters at the edges of removed spans; extra columns are never
 read by ``report`` and pass through ``deduplicate``.
 """
@@ -162,12 +164,13 @@ def _row_hash(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-CONTEXT = "key long, doc long, pos long, size int, bytes binary"
+CONTEXT = "key long, doc long, pos long, size int, bytes binary, more binary"
 
 
 def _context_rows(joined: DataFrame, common) -> DataFrame:
     """Rows of CONTEXT: an anchor with its bytes under its hash, or, with a null key, a span
-    [pos, pos + size) that is known to repeat. ``size`` of an anchor packs left * 256 + right."""
+    [pos, pos + size) that is known to repeat. ``size`` of an anchor packs left * 256 + right, and
+    ``more`` its other places in the document with equal surroundings, as 64-bit integers."""
 
     def run(batches):
         very_common = common.value
@@ -194,31 +197,43 @@ def _context_rows(joined: DataFrame, common) -> DataFrame:
     return joined.mapInArrow(tidy(run), CONTEXT)
 
 
-def _repeats(key, ids, matrix, left, right) -> np.ndarray:
-    """Rows whose key and surroundings equal those of a row with a smaller id (bytes compared)."""
-    full = np.concatenate([_row_hash(matrix[i : i + ROWS_PER_BLOCK])[:, -1] for i in range(0, len(key), ROWS_PER_BLOCK)])
+def _equals(key, ids, matrix, left, right) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose key and surroundings equal those of a row with a smaller id (bytes compared); rows that
+    equal another row of their own id; and, for these, that row."""
+    full = np.concatenate([np.zeros(0, np.uint64), *(_row_hash(matrix[i : i + ROWS_PER_BLOCK])[:, -1] for i in range(0, len(key), ROWS_PER_BLOCK))])
     full = mix(full ^ mix(key) ^ (left * 256 + right).astype(np.uint64))
     order = np.lexsort((ids, full))
-    first = np.concatenate([[True], full[order][1:] != full[order][:-1]])
+    first = np.ones(len(key), bool)
+    first[1:] = full[order][1:] != full[order][:-1]
     head = np.repeat(order[first], np.diff(np.append(np.flatnonzero(first), len(order))))
-    out = np.zeros(len(key), bool)
-    later = ids[order] > ids[head]
-    order, head = order[later], head[later]
+    order, head = order[~first], head[~first]
     same = [(matrix[order[i : i + ROWS_PER_BLOCK]] == matrix[head[i : i + ROWS_PER_BLOCK]]).all(axis=1) for i in range(0, len(order), ROWS_PER_BLOCK)]
-    out[order] = np.concatenate([np.zeros(0, bool), *same])
-    return out
+    same = np.concatenate([np.zeros(0, bool), *same])
+    order, head = order[same], head[same]
+    later, own, lead = np.zeros(len(key), bool), np.zeros(len(key), bool), np.arange(len(key))
+    later[order] = ids[order] > ids[head]
+    own[order] = ids[order] == ids[head]
+    lead[order] = head
+    return later, own, lead
+
+
+def _folded(own, lead, pos) -> tuple[np.ndarray, np.ndarray]:
+    """For every row the number of rows folded into it, and their places, row by row."""
+    rows = np.flatnonzero(own)
+    rows = rows[np.argsort(lead[rows], kind="stable")]
+    return np.bincount(lead[rows], minlength=len(lead)), pos[rows]
 
 
 def _emit(gram, ids, pos, matrix, left, right, very_common):
-    """CONTEXT rows of a batch: of equal surroundings only the smallest id travels, the others repeat it."""
-    repeats = _repeats(gram, ids, matrix, left, right)
+    """CONTEXT rows of a batch: of equal surroundings only the smallest id travels, once; the others repeat it."""
+    repeats, own, lead = _equals(gram, ids, matrix, left, right)
     spans = [(ids[repeats], (pos - left)[repeats], (pos + right)[repeats])]
-    gram, ids, pos, matrix, left, right = (x[~repeats] for x in (gram, ids, pos, matrix, left, right))
     slot = np.minimum(np.searchsorted(very_common, gram), max(len(very_common) - 1, 0))
     often = very_common[slot] == gram if len(very_common) else np.zeros(len(gram), bool)
-    yield from _rows(*(x[~often] for x in (gram, ids, pos, matrix, left, right)))
-    if often.any():  # the windows of very common anchors go under the windows' own hashes
-        ids, pos, matrix, left, right = (x[often] for x in (ids, pos, matrix, left, right))
+    often_rows = np.flatnonzero(often & ~repeats)
+    yield from _rows(gram, ids, pos, matrix, left, right, ~repeats & ~often, own & ~often, lead)
+    if len(often_rows):  # the windows of very common anchors go under the windows' own hashes
+        ids, pos, matrix, left, right = (x[often_rows] for x in (ids, pos, matrix, left, right))
         hashes = _row_hash(matrix)
         for a in range(LEFT + 1):
             rows = np.flatnonzero((left >= a) & (right >= SPAN - a))
@@ -226,23 +241,37 @@ def _emit(gram, ids, pos, matrix, left, right, very_common):
             block = np.zeros((len(rows), WIDTH), np.uint8)
             block[:, LEFT:] = matrix[rows, LEFT - a : LEFT - a + SPAN]
             made = [mix(key ^ U64(0xA5A5A5A5)), ids[rows], pos[rows] - a, block, np.zeros(len(rows), np.int64), np.full(len(rows), SPAN)]
-            again = _repeats(made[0], made[1], *made[3:]) if len(rows) else np.zeros(0, bool)
+            again, own, lead = _equals(made[0], made[1], *made[3:])
             spans.append((made[1][again], made[2][again], made[2][again] + SPAN))
-            yield from _rows(*(x[~again] for x in made))
+            yield from _rows(*made, ~again, own, lead)
     who, start, end = (np.concatenate([s[i] for s in spans]) for i in range(3))
     if len(who):
         start, end, who = _merge(who, start, end)
         k = len(who)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(who), pa.array(start), pa.array((end - start).astype(np.int32)), pa.nulls(k, pa.binary())], names=["key", "doc", "pos", "size", "bytes"])
+        blank = pa.nulls(k, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(who), pa.array(start), pa.array((end - start).astype(np.int32)), blank, blank], names=["key", "doc", "pos", "size", "bytes", "more"])
+
+
+def _binary(edges: np.ndarray, body: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+
 
+def _rows(key, ids, pos, matrix, left, right, keep, own, lead):
+    """Arrow batches of the anchors in ``keep`` with their surroundings; those in ``own`` go as places of their lead."""
+    keep = np.flatnonzero(keep & ~own)
+    count, places = _folded(own, lead, pos)
+    first = np.cumsum(count) - count
+    for lo in range(0, len(keep), ROWS_PER_BLOCK):
+        part = keep[lo : lo + ROWS_PER_BLOCK]
+        n = len(part)
+        body = _binary(np.arange(n + 1) * WIDTH, matrix[part])
+        more = _binary(np.concatenate([[0], np.cumsum(count[part])]) * 8, places[_ranges(first[part], count[part])])
+        yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(ids[part]), pa.array(pos[part]), pa.array((left[part] * 256 + right[part]).astype(np.int32)), body, more], names=["key", "doc", "pos", "size", "bytes", "more"])
 
-def _rows(key, ids, pos, matrix, left, right):
-    """Arrow batches of anchors with their surroundings."""
-    for lo in range(0, len(key), ROWS_PER_BLOCK):
-        part = slice(lo, lo + ROWS_PER_BLOCK)
-        n = len(key[part])
-        body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * WIDTH).astype(np.int32).tobytes()), pa.py_buffer(matrix[part].tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(ids[part]), pa.array(pos[part]), pa.array((left[part] * 256 + right[part]).astype(np.int32)), body], names=["key", "doc", "pos", "size", "bytes"])
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices first .. first + count - 1 of every row, one row after another."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
 
 
 def _merge(who: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -360,42 +389,60 @@ def _windows(matrix, left, right, ids, start, size) -> tuple[np.ndarray, np.ndar
     return fewest, most
 
 
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Length of every value of a binary column, and all its bytes; a null is empty."""
+    _, edges, body = column.buffers()
+    n = len(column)
+    if not n or body is None or not body.size:
+        return np.zeros(n, np.int64), np.zeros(0, np.uint8)
+    edges = np.frombuffer(edges, np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    return np.diff(edges), np.frombuffer(body, np.uint8)[edges[0] : edges[-1]]
+
+
 def _resolve(rows: DataFrame, tasks: int) -> DataFrame:
     """(doc, pos, size) spans that repeat an earlier document, from anchors that meet by key."""
 
     def run(batches):
-        columns = [[np.zeros(0, np.int64)] for _ in range(4)]
+        columns = [[np.zeros(0, np.int64)] for _ in range(6)]
         bodies = [np.zeros((0, WIDTH), np.uint8)]
         for batch in batches:
-            for store, name in zip(columns, ("key", "doc", "pos", "size"), strict=True):
+            for store, name in zip(columns, ("key", "doc", "pos", "size"), strict=False):
                 store.append(batch.column(name).to_numpy().astype(np.int64))
-            body = batch.column("bytes")
-            raw = np.frombuffer(body.buffers()[2], np.uint8) if batch.num_rows else np.zeros(0, np.uint8)
-            lo = np.frombuffer(body.buffers()[1], np.int32)[body.offset] if batch.num_rows else 0
-            bodies.append(raw[lo : lo + batch.num_rows * WIDTH].reshape(-1, WIDTH))
-        key, ids, pos, size = map(np.concatenate, columns)
+            bodies.append(_values(batch.column("bytes"))[1].reshape(-1, WIDTH))
+            length, body = _values(batch.column("more"))
+            columns[4].append(length // 8)
+            columns[5].append(np.frombuffer(body.tobytes(), np.int64))
+        key, ids, pos, size, count, places = map(np.concatenate, columns)
         matrix = np.concatenate(bodies)
-        del bodies
+        del bodies, columns
         left, right = size // 256, size % 256
+        first = np.cumsum(count) - count
         out = []
+
+        def found(at, before, after):
+            """The span from ``before`` bytes before to ``after`` bytes after each place of the rows ``at``."""
+            every = np.concatenate([np.arange(len(at)), np.repeat(np.arange(len(at)), count[at])])
+            place = np.concatenate([pos[at], places[_ranges(first[at], count[at])]])
+            out.append((ids[at][every], place - before[every], place + after[every]))
+
         if len(key):
-            repeat = _repeats(key.view(np.uint64), ids, matrix, left, right)
-            out.append((ids[repeat], pos[repeat] - left[repeat], pos[repeat] + right[repeat]))
+            repeat = _equals(key.view(np.uint64), ids, matrix, left, right)[0]
+            found(np.flatnonzero(repeat), left[repeat], right[repeat])
             keep = np.flatnonzero(~repeat)
             keep = keep[np.argsort(key[keep], kind="stable")]
             edge = np.flatnonzero(np.concatenate([[True], key[keep][1:] != key[keep][:-1]]))
-            count = np.diff(np.append(edge, len(keep)))
+            size = np.diff(np.append(edge, len(keep)))
             several = np.maximum.reduceat(ids[keep], edge) != np.minimum.reduceat(ids[keep], edge)
-            keep, count = keep[np.repeat(several, count)], count[several]
-            ends = np.cumsum(count)
+            keep, size = keep[np.repeat(several, size)], size[several]
+            ends = np.cumsum(size)
             g = 0
-            while g < len(count):  # whole groups, about ROWS_PER_BLOCK rows at a time
+            while g < len(size):  # whole groups, about ROWS_PER_BLOCK rows at a time
                 done = int(ends[g - 1]) if g else 0
                 h = max(g + 1, int(np.searchsorted(ends, done + ROWS_PER_BLOCK, side="right")))
                 rows_ = keep[done : int(ends[h - 1])]
-                fewest, most = _windows(matrix[rows_], left[rows_], right[rows_], ids[rows_], ends[g:h] - count[g:h] - done, count[g:h])
+                fewest, most = _windows(matrix[rows_], left[rows_], right[rows_], ids[rows_], ends[g:h] - size[g:h] - done, size[g:h])
                 hit = most >= 0
-                out.append((ids[rows_][hit], pos[rows_][hit] - most[hit], pos[rows_][hit] + SPAN - fewest[hit]))
+                found(rows_[hit], most[hit], SPAN - fewest[hit])
                 g = h
         if out:
             start, end, who = _merge(*(np.concatenate([x[i] for x in out]) for i in range(3)))

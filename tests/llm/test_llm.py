@@ -619,6 +619,27 @@ def test_crowded_anchors_take_the_window_path(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter(brute_dedup(rows))
 
 
+def test_a_string_at_many_places_travels_once(spark):
+    from driftlens.llm import suffix_dedup
+
+    rng = np.random.default_rng(4)
+    apart = [f"{PASSAGE[:90]} s{x} " for x in range(40)]
+    rows = []
+    for i in range(130):
+        own = " ".join(f"u{x}" for x in rng.integers(0, 10**6, 5))
+        rows.append((i, own + "Is onhe. " * int(rng.integers(0, 60)) + own + "".join(rng.permutation(apart)[: i % 4]) + "z" * int(rng.integers(0, 200) * (i % 7 == 0))))
+    rows += [(500, rows[3][1] * 3), (500, rows[3][1] * 3), (None, rows[5][1]), (501, "Is onhe. " * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        got = suffix_dedup.report(df.repartition(parts)).collect()
+        assert collections.Counter(map(tuple, got)) == collections.Counter(brute_dedup(rows))
+    few = spark.createDataFrame([r for r in rows if r[0] in (3, 7, 10, 500, 501)], "doc_id long, text string")
+    shared = suffix_dedup._shared(suffix_dedup._anchor_rows(few), 2).where("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("gram").alias("grams"))
+    sent = suffix_dedup._context_rows(few.join(shared, few.doc_id == shared.doc).select("doc_id", "text", "grams").coalesce(1), spark.sparkContext.broadcast(np.zeros(0, np.uint64)))
+    assert sent.where("key IS NOT NULL").groupBy("key", "doc", "size", "bytes").count().where("count > 1").count() == 0
+    assert sent.where("length(more) > 0").count() > 0
+
+
 # -- pipeline ----------------------------------------------------------------------------------
 
 
