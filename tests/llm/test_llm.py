@@ -548,6 +548,54 @@ def test_near_copies_keep_little_on_disk(spark, monkeypatch):
     assert most[0] < 1.28 * files, most[0] / files
 
 
+def test_near_copies_write_few_files(spark, monkeypatch):
+    """Each file costs an executor processes on a local store: tables of few rows take few files."""
+    import glob
+
+    from driftlens.llm import ngram_join
+
+    files, write, write_parts = {}, ngram_join.materialize, ngram_join.materialize_parts
+
+    def counted(table, tag):
+        return seen(write(table, tag), tag, 1)
+
+    def counted_parts(tables, tag):
+        return seen(write_parts(tables, tag), tag, len(tables))
+
+    def seen(found, tag, parts):
+        path = found[1].removeprefix("file:")
+        files[tag] = max(files.get(tag, 0), len(glob.glob(f"{path}/*.parquet")) / parts)
+        return found
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    monkeypatch.setattr(ngram_join, "materialize_parts", counted_parts)
+    copies = near_copies()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), 5, 80).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_components(copies, 5, 80)
+    assert {t: n for t, n in files.items() if t in ("links", "candidates", "sizes") and n > 2} == {}
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 16])
+def test_likely_passes_every_wanted_id_and_few_others(spark, monkeypatch, most):
+    from driftlens.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "MOST_BITS", most)
+    ids = spark.range(40_000).select((F.col("id") * 977 - 5_000_000).alias("doc_id"))
+    wanted = ids.where("pmod(doc_id, 10) = 3")
+    passed = ids.where(ngram_join._likely(wanted)(F.col("doc_id")))
+    assert wanted.join(passed, "doc_id", "left_anti").count() == 0
+    assert passed.count() < wanted.count() * (1.7 if most > 1 << 16 else 1.9)
+    assert ids.where(ngram_join._likely(wanted.where("false"))(F.col("doc_id"))).count() == 0
+    rows = ids.select("doc_id", F.lit("x").alias("text"))
+    rows = rows.unionByName(rows.where("pmod(doc_id, 20) = 3")).unionByName(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in ngram_join._chosen(rows, wanted).collect()) == sorted(r.doc_id for r in wanted.collect())
+
+
 # -- nearest neighbours ------------------------------------------------------------------------
 
 
